@@ -98,7 +98,7 @@ def _candidates(ends: dict[str, str]):
 def value_bits(count: Column, total: Column, literal: Column) -> Column:
     """Code length of one occurrence of a value: spelled out, or a pointer into a dictionary whose spelling all occurrences share.
 
-    A fault of the parse is paid at every occurrence and so is not part of this."""
+    The dictionary holds complete entries only: a broken one is spelled out each time, with the price of its faults on top."""
     return F.least(literal + 1, F.log2(total / count) + literal / count + 1)
 
 
@@ -128,7 +128,7 @@ def split_packed(rows: DataFrame, row_id: str, ends: dict[str, str], least: int
         .withColumn("value", value)
         .join(counts, "value")
         .crossJoin(F.broadcast(total))
-        .select("row_id", "field_name", "cell", "dialect", "base", F.struct("i", "e.text").alias("entry"), (value_bits(F.col("n"), F.col("total"), F.col("e.bits")) + F.col("e.fault")).alias("cost"))
+        .select("row_id", "field_name", "cell", "dialect", "base", F.struct("i", "e.text").alias("entry"), F.when(F.col("e.fault") > 0, F.col("e.bits") + F.col("e.fault")).otherwise(value_bits(F.col("n"), F.col("total"), F.col("e.bits"))).alias("cost"))
     )
     by = ["row_id", "field_name", "cell"]
     best = (

@@ -170,12 +170,12 @@ SQL = {
 select ref_doc_id, count(*) as n_references from refs
 where ref_doc_id not in (select doc_id from inventory where removed_at is null) group by all""",
     "p3_found": f"""with t as (
-  select pile_folder, lower(trim(q4_start_date)) as s, lower(trim(q4_end)) as e, lower(trim(q4_status)) = 'live' as live from cards where trim(pile_folder) <> ''),
+  select card_no, pile_folder, lower(trim(q4_start_date)) as s, lower(trim(q4_end)) as e, lower(trim(q4_status)) = 'live' as live from cards where trim(pile_folder) <> ''),
 u as (select *, regexp_extract(e, '^fixed\\s*:?\\s*(.*)$', 1) as fx from t),
-v as (select pile_folder, {_sql_date("s", "\\s*$")} as s,
+v as (select card_no, pile_folder, {_sql_date("s", "\\s*$")} as s,
         case when regexp_matches(e, '^(rolling until notice|until project ends)') and live then date '9999-12-31' else {_sql_date("fx", "(?:$|\\D)")} end as e from u),
-w as (select *, max(e) over (partition by pile_folder order by s, e rows between unbounded preceding and 1 preceding) as reach from v where s is not null and e is not null and e >= s),
-x as (select *, sum(case when reach is null or (reach < date '9999-12-31' and s > reach + 1) then 1 else 0 end) over (partition by pile_folder order by s, e rows unbounded preceding) as island from w),
+w as (select *, max(e) over (partition by pile_folder order by s, e, card_no rows between unbounded preceding and 1 preceding) as reach from v where s is not null and e is not null and e >= s),
+x as (select *, sum(case when reach is null or (reach < date '9999-12-31' and s > reach + 1) then 1 else 0 end) over (partition by pile_folder order by s, e, card_no rows unbounded preceding) as island from w),
 y as (select pile_folder, min(s) as f, max(e) as t from x group by pile_folder, island),
 z as (select *, lead(f) over (partition by pile_folder order by f) as nxt from y)
 select pile_folder, 'period' as span_kind, strftime(f, '%Y-%m-%d') as span_from, case when t = date '9999-12-31' then 'open' else strftime(t, '%Y-%m-%d') end as span_to from z
