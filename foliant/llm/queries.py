@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.canonical import map_to_canonical
+from foliant.llm.leakage import find_leaks
+from foliant.llm.packing import pack
+from foliant.llm.splitting import split_oversized
+from foliant.llm.tokens import token_count
 from foliant.llm.variants import link_names, variant_pairs
 from foliant.operators import packed_cells as P
 from foliant.session import table
@@ -58,6 +62,53 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return found.where("ref_id = 'unmatched'").groupBy("name").agg(F.count("*").alias("n_entries"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p7_found, p7_unmatched)}
+CAPACITY, LIMIT, OVERLAP, LEAST_WORDS = 2048, 512, 64, 12
 
-SQL: dict[str, str] = {}
+
+def containers(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens"))
+    return pack(docs, "doc_id", "n_tokens", CAPACITY)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return containers(spark, d).where("piece_no = 2").select(F.col("item").alias("doc_id"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return containers(spark, d).withColumnRenamed("item", "doc_id")
+
+
+def leaks(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage", LEAST_WORDS)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Each leaked item with its number of documents and its longest run."""
+    return leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("n_words").alias("longest"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = split_oversized(table(spark, d, "documents"), "doc_id", "text", LIMIT, OVERLAP, with_text=False)
+    return pieces.where("piece_no = 2").select(F.col("item").alias("doc_id"))
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(table(spark, d, "documents"), "doc_id", "text", LIMIT, OVERLAP).withColumnRenamed("item", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p7_found, p7_unmatched, p8_found, p8_containers, p9_found, p9_items, p10_found, p10_pieces)}
+
+_TOKENS = "len(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\s]'))"
+SQL = {
+    "p8_found": f"select doc_id from documents where {_TOKENS} > {CAPACITY}",
+    "p10_found": f"select doc_id from documents where {_TOKENS} > {LIMIT}",
+    "p9_found": """with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents),
+e as (select item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') as w from eval_items),
+eg as (select item_id, array_to_string(w[i:i + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from e)),
+dg as (select doc_id, array_to_string(w[i:i + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from d))
+select distinct doc_id, item_id from dg join eg using (g)""",
+}
