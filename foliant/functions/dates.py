@@ -40,3 +40,28 @@ def leading_date(cell: Column) -> Column:
 def whole_date(cell: Column) -> Column:
     """As ``leading_date``, where the date is the whole cell."""
     return _date(cell, r"\s*$")
+
+#: The four written shapes of a date inside a text: ISO, Month d yyyy, d Month yyyy, d.m.yyyy or d/m/yyyy.
+_FULL = "january|february|march|april|may|june|july|august|september|october|november|december|" + "|".join(m for m in MONTHS if m != "may")
+ANYWHERE = (
+    r"\b\d{4}-\d{1,2}-\d{1,2}\b"
+    rf"|\b(?:{_FULL})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}\b"
+    rf"|\b\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{_FULL})\.?,?\s+\d{{4}}\b"
+    r"|\b\d{1,2}[./]\d{1,2}[./]\d{4}\b"
+)
+
+
+def dates_in(text: Column) -> Column:
+    """All real dates of a text in the order in which they stand there; impossible ones are dropped; empty for null."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({ANYWHERE})"), F.lit(1))
+    return F.array_compact(F.transform(found, leading_date))
+
+
+def first_date(text: Column) -> Column:
+    return F.get(dates_in(text), F.lit(0))
+
+
+def term_state(start: Column, end: Column, as_at: str) -> Column:
+    """ended, future, live or unknown at the as-at date, from dates alone."""
+    day = F.lit(as_at).cast("date")
+    return F.when(end < day, "ended").when(start > day, "future").when(start.isNotNull() | end.isNotNull(), "live").otherwise("unknown")
