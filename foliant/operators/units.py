@@ -17,11 +17,11 @@ STOP_WORDS = {
 
 def text_units(docs: DataFrame, doc_id: str, text: str, marker: str) -> DataFrame:
     """(doc_id, unit_no, body): what stands after each marker, numbered by the marker's own number (S22). ``marker`` is a regular
-    expression with the number as its group; text before the first marker is no unit."""
+    expression with the number as its group; text before the first marker is no unit. Outer white space of a unit is left out."""
     numbers = F.regexp_extract_all(F.col(text), F.lit(marker), F.lit(1))
     bodies = F.split(F.col(text), marker)
     zipped = F.arrays_zip(numbers.alias("n"), F.slice(bodies, F.lit(2), F.greatest(F.size(bodies) - 1, F.lit(0))).alias("b"))
-    return docs.where(F.col(text).isNotNull()).select(F.col(doc_id), F.explode(zipped).alias("u")).select(doc_id, F.col("u.n").cast("int").alias("unit_no"), F.trim(F.col("u.b")).alias("body"))
+    return docs.where(F.col(text).isNotNull()).select(F.col(doc_id), F.explode(zipped).alias("u")).select(doc_id, F.col("u.n").cast("int").alias("unit_no"), F.regexp_replace(F.col("u.b"), r"^\s+|\s+$", "").alias("body"))
 
 
 def bounded_packet(units: DataFrame, doc_id: str, order: str, body: str, budget: int) -> DataFrame:

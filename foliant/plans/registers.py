@@ -273,7 +273,7 @@ _M = f"""m as (select ledger_no, stage, role, nullif(trim(model), '') as model,
 _TOTALS = """count(*) as agents, count(*) filter (retry) as retries, count(*) filter (failed) as failures, cast(coalesce(sum(tokens), 0) as bigint) as tokens, count(*) filter (tokens is null) as unknown_tokens,
   count(distinct target) as targets, cast(coalesce(sum(duration_ms), 0) as bigint) as duration_ms, cast(coalesce(sum(tokens) filter (units > 0 and tokens is not null), 0) as bigint) as unit_tokens,
   cast(coalesce(sum(units) filter (units > 0 and tokens is not null), 0) as bigint) as units"""
-_UNITS = """u as (select doc_id, cast(unnest(regexp_extract_all(text, '{0}', 1)) as integer) as unit_no, trim(unnest(string_split(regexp_replace(text, '{0}', chr(1), 'g'), chr(1))[2:])) as body from documents where regexp_matches(text, '{0}'))"""
+_UNITS = """u as (select doc_id, cast(unnest(regexp_extract_all(text, '{0}', 1)) as integer) as unit_no, regexp_replace(unnest(string_split(regexp_replace(text, '{0}', chr(1), 'g'), chr(1))[2:]), '^\\s+|\\s+$', '', 'g') as body from documents where regexp_matches(text, '{0}'))"""
 _PAGES, _PARAS = _UNITS.format("=== page (\\d+) ==="), _UNITS.format("\\[¶ (\\d+)\\]")
 _HITS = {k: f"len(list_filter(w, lambda x: list_contains({_lit(s.split())}, x)))" for k, s in U.STOP_WORDS.items()}
 _GUESS = f"""g as (select doc_id, lang, case {" ".join(f"when {h} >= 5 and {h} = greatest({', '.join(_HITS.values())}) then '{k}'" for k, h in _HITS.items())} end as guess
