@@ -91,7 +91,6 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
     one = keys.select("block", "key").distinct()
     chosen = one.where(F.pmod(F.xxhash64("block", "key"), F.lit(KEYS_PER_PIVOT)) == 0).unionByName(one.groupBy("block").agg(F.min("key").alias("key")))
     pivots = chosen.groupBy("block").agg(F.sort_array(F.collect_set("key")).alias("pivots"))
-    measured = one.join(pivots, "block").select("block", "key", "pivots", F.transform("pivots", lambda p: F.levenshtein(F.col("key"), p)).alias("d"))
     # both orders of two stems may live apart: the bound is taken from the nearer order
     stems = F.split("key", " ")
     swapped = F.when(F.col("block").startswith("c:") & (F.size(stems) == 2), F.concat_ws(" ", F.get(stems, F.lit(1)), F.get(stems, F.lit(0)))).otherwise(F.col("key"))
@@ -103,7 +102,9 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
         F.col("p.d") <= F.col("reach") + 2 * RADIUS
     )
     placed = cells.select("block", "key", F.col("p.pivots").alias("pivot"), (F.col("i") == F.col("at")).alias("home")).join(keys, ["block", "key"])
-    links = placed.groupBy("block", "pivot").applyInPandas(_cell_links, "block string, key_a string, first_a string, key_b string, first_b string")
+    # cells are small in bytes but dear in time, so their number of tasks is set here and not by size
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = placed.repartition(tasks, "block", "pivot").groupBy("block", "pivot").applyInPandas(_cell_links, "block string, key_a string, first_a string, key_b string, first_b string")
     node = lambda x: F.concat_ws("\x1f", "block", f"key_{x}", f"first_{x}")
     entity = connected_components(links.select(node("a").alias("a"), node("b").alias("b")).where("a <> b"))
     labelled = read.select("name", "node").join(entity, "node", "left").select("name", F.coalesce("component", "node").alias("entity"))
