@@ -82,9 +82,9 @@ def business(token: str) -> tuple[str | None, bool]:
     near = [b for b in BUSINESS if len(token) >= 5 and within(token, b, 1)] or [b for b in BUSINESS if len(token) >= 7 and within(token, b, 2)]
     if near:
         return near[0], True
-    # beginnings, and contractions that keep the first three letters or no vowel but the first
-    contraction = lambda b: len(token) <= 7 and token[0] == b[0] and (token[:3] == b[:3] or not set(token[1:]) & set("aeiou")) and _subsequence(token, b)
-    short = [b for b in BUSINESS if b.startswith(token)] or [b for b in BUSINESS if contraction(b)]
+    # beginnings; contractions that keep the first three letters; contractions without a vowel but the first letter
+    fits = [b for b in BUSINESS if len(token) <= 7 and token[0] == b[0] and _subsequence(token, b)]
+    short = [b for b in BUSINESS if b.startswith(token)] or [b for b in fits if token[:3] == b[:3]] or [b for b in fits if not set(token[1:]) & set("aeiou")]
     if not short and 5 <= len(token) <= 7:  # a short form that is misspelt itself
         short = [b for b in BUSINESS if token[0] == b[0] and any(len(b) > n and within(token, b[:n], 1) for n in (len(token) - 1, len(token), len(token) + 1))]
     return (short[0], False) if len(short) == 1 else (None, False)
@@ -136,7 +136,8 @@ def read_name(name: str) -> Name:
     segments = [s for s in segments if s]
     words = [t for s in segments for t in s]
     lines = {t: business(t) for t in words if not _legal(t)}
-    if any(_legal(t) and t != "the" for t in words) or any(b for b, _ in lines.values()) or bracketed:
+    only_initials = re.search(r",\s*(?:[^\W\d_]\.\s?)+$", text) is not None  # "Name, A.B." is a person, though AB is a legal form
+    if (any(_legal(t) and t != "the" for t in words) and not only_initials) or any(b for b, _ in lines.values()) or bracketed:
         stems, trades, places = [], set(), {p for b in bracketed for t in _tokens(b) if (p := place(t, True))}
         for s in segments:
             stem, rest = "", [t for t in s if not _legal(t)]

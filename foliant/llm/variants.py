@@ -16,6 +16,8 @@ from foliant.session import stage
 
 #: One key in so many of a block, chosen by its hash, is a pivot; every block has at least one.
 KEYS_PER_PIVOT = 2000
+#: Keys that one task joins, about.
+KEYS_PER_TASK = 500
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +104,8 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
         F.col("p.d") <= F.col("reach") + 2 * RADIUS
     )
     placed = cells.select("block", "key", F.col("p.pivots").alias("pivot"), (F.col("i") == F.col("at")).alias("home")).join(keys, ["block", "key"])
-    # cells are small in bytes but dear in time, so their number of tasks is set here and not by size
-    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # cells are small in bytes but dear in time, so their number of tasks follows the keys and not the size
+    tasks = min(keys.count() // KEYS_PER_TASK + 1, 10_000)
     links = placed.repartition(tasks, "block", "pivot").groupBy("block", "pivot").applyInPandas(_cell_links, "block string, key_a string, first_a string, key_b string, first_b string")
     node = lambda x: F.concat_ws("\x1f", "block", f"key_{x}", f"first_{x}")
     entity = connected_components(links.select(node("a").alias("a"), node("b").alias("b")).where("a <> b"))
