@@ -36,7 +36,8 @@ def bounded_packet(units: DataFrame, doc_id: str, order: str, body: str, budget:
 def guess_language(text: Column, least: int = 5) -> Column:
     """The language with most common words, at least ``least``; the earlier one wins ties; null below that."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
-    among = lambda s: F.size(F.filter(words, lambda w: w.isin(*s.split())))
-    hits = [(k, among(s)) for k, s in STOP_WORDS.items()]
-    best = F.greatest(*[h for _, h in hits])
-    return F.coalesce(*[F.when((h == best) & (h >= least), F.lit(k)) for k, h in hits])
+    among = lambda w, s: F.size(F.filter(w, lambda x: x.isin(*s.split())))
+    # bound to a variable, so that the words are split and counted once
+    hits = F.get(F.transform(F.array(words), lambda w: F.array(*[among(w, s) for s in STOP_WORDS.values()])), F.lit(0))
+    name = F.transform(F.array(hits), lambda h: F.when(F.array_max(h) >= least, F.get(F.array(*map(F.lit, STOP_WORDS)), (F.array_position(h, F.array_max(h)) - 1).cast("int"))))
+    return F.get(name, F.lit(0))
