@@ -45,3 +45,13 @@ def missing_and_strays(required: DataFrame, present: DataFrame, key: str) -> Dat
     """(key, problem): required but missing, present but not required."""
     r, p = required.select(key).where(F.col(key).isNotNull()).distinct(), present.select(key).where(F.col(key).isNotNull()).distinct()
     return r.join(p, key, "left_anti").withColumn("problem", F.lit("missing")).unionByName(p.join(r, key, "left_anti").withColumn("problem", F.lit("stray")))
+
+
+def upsert(rows: DataFrame, key: list[str], new: DataFrame) -> DataFrame:
+    """New rows replace old ones of the same key (H17); null keys replace nothing."""
+    return rows.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
+
+
+def same_coverage(produced: DataFrame, selected: DataFrame, key: str) -> DataFrame:
+    """One row: whether both have the same different keys."""
+    return missing_and_strays(selected, produced, key).agg((F.count("*") == 0).alias("same"))

@@ -135,6 +135,23 @@ def read_table(spark: SparkSession, path: str, required: tuple[str, ...] = (), a
     return body.select("row_no", *[F.get("cells", F.lit(first[k])).alias(k) for k in dict.fromkeys(keys) if k])
 
 
+def control_file(spark: SparkSession, folder: str, pattern: str) -> str | None:
+    """The one file of a folder whose name fits the pattern, or None; several raise."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    found = sorted(f.getPath().toString() for f in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(root) or [])
+    if len(found) > 1:
+        raise BadTable(f"{folder}: several files fit {pattern}")
+    return found[0] if found else None
+
+
+def as_at_in_headers(headers: list[str]) -> str | None:
+    """The ISO date that stands within 40 characters of "as at" in a header."""
+    for h in headers:
+        if m := re.search(r"\bas at\b.{0,40}?(\d{4}-\d{2}-\d{2})", h, re.I | re.S):
+            return m[1]
+    return None
+
+
 #: Names that an account column may have, best first.
 ACCOUNT_COLUMNS = ("customer_account", "supplier_account", "account", "account_name", "customer", "supplier", "name", "company")
 
