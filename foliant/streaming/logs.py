@@ -15,8 +15,12 @@ from foliant.operators.intervals import OPEN, IntervalMap
 
 
 def log_stream(spark: SparkSession, path: str, schema: str, kind: str = "json", files_per_batch: int = 100) -> DataFrame:
-    """A growing folder of log files as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(kind).load(path)
+    """A growing folder of log files as a stream, or one file, as Spark's source takes only folders."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(kind)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isFile():
+        return reader.option("pathGlobFilter", target.getName()).load(target.getParent().toString())
+    return reader.load(path)
 
 
 def ledger_totals(ledger: DataFrame) -> DataFrame:
