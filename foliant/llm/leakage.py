@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.tokens import WORD
@@ -76,6 +77,34 @@ def _anchors(items: list[tuple], vocabulary: dict[str, int], counts: dict[int, i
     return out
 
 
+def _listed(items: DataFrame, item_id: str, passage: str, least: int) -> list[list[tuple]]:
+    """The test items with at least ``least`` words as (id, words), in blocks."""
+    listed = [(r[0], words_of(r[1] or "")) for r in items.select(item_id, passage).toLocalIterator()]
+    listed = [x for x in listed if len(x[1]) >= least]
+    return [listed[at : at + ITEMS_PER_BLOCK] for at in range(0, max(len(listed), 1), ITEMS_PER_BLOCK)]
+
+
+class _Block:
+    """A block of test items and the written postings of its words."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, items: list[tuple], kind: str, least: int) -> None:
+        spark = docs.sparkSession
+        self.items = items
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in items for w in words}))}
+        rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        self.postings = stage(rows.mapInArrow(_index(self.vocabulary, least), f"term int, doc_id {dict(rows.dtypes)['doc_id']}, positions array<int>"), "postings")
+        self.counts = {r["term"]: r["n"] for r in self.postings.groupBy("term").agg(F.sum(F.size("positions")).alias("n")).collect()}
+        # these three are bounded by the block; the planner broadcasts them only below its own limit, and shuffles beyond
+        self.test = spark.createDataFrame([(n, self.vocabulary[w], i) for n, (_, words) in enumerate(items) for i, w in enumerate(words)], "number int, term int, offset int")
+        self.names = spark.createDataFrame([(n, i, len(words)) for n, (i, words) in enumerate(items)], f"number int, item_id {kind}, n int")
+
+    def shifts(self, anchors: set[tuple[int, int, int]]) -> DataFrame:
+        """(doc_id, number, shift) at which an anchor (term, item number, offset) stands: its postings, moved by its offset."""
+        a = self.postings.sparkSession.createDataFrame(sorted(anchors), "term int, number int, offset int")
+        hits = self.postings.join(a, "term").select("doc_id", "number", F.explode("positions").alias("p"), "offset")
+        return hits.select("doc_id", "number", (F.col("p") - F.col("offset")).alias("shift"))
+
+
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, least: int = 12) -> DataFrame:
     """(doc_id, item_id, doc_position, n_words): every place where ``least`` or more consecutive words of a passage stand
     consecutively in a text, with the word number in the text at which the passage's first word would stand and the length of the longest such run.
@@ -88,40 +117,51 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     term; the anchors' postings, shifted by their offsets, propose alignments; the lists of all other terms of the passage are then
     intersected under the same shift for the proposed documents. What reaches the driver is the test side and a count for each test
     term, both bounded by the block; alignments and postings stay distributed."""
-    spark = docs.sparkSession
-    listed = [(r[0], words_of(r[1] or "")) for r in items.select(item_id, passage).toLocalIterator()]
-    listed = [x for x in listed if len(x[1]) >= least]
-    kind = dict(items.dtypes)[item_id]
-    out = None
-    for at in range(0, max(len(listed), 1), ITEMS_PER_BLOCK):
-        found = _block(spark, docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), listed[at : at + ITEMS_PER_BLOCK], kind, least)
+    kind, out = dict(items.dtypes)[item_id], None
+    for listed in _listed(items, item_id, passage, least):
+        block = _Block(docs, doc_id, text, listed, kind, least)
+        alignments = stage(block.shifts(_anchors(listed, block.vocabulary, block.counts, least)).distinct(), "alignments")
+        hits = (
+            block.postings.join(alignments.join(block.test, "number"), ["doc_id", "term"])
+            .where(F.array_contains("positions", F.col("shift") + F.col("offset")))
+            .groupBy("doc_id", "number", "shift").agg(F.sort_array(F.collect_set("offset")).alias("o"))
+        )
+        # the longest run of consecutive offsets: the largest set of equal offset minus rank
+        rank = F.transform("o", lambda x, i: x - i)
+        run = F.array_max(F.transform(F.array_distinct(rank), lambda r: F.size(F.filter(rank, lambda x: x == r))))
+        found = (
+            hits.where(F.size("o") >= least).select("doc_id", "number", "shift", run.alias("n_words")).where(F.col("n_words") >= least)
+            .join(block.names, "number").select("doc_id", "item_id", F.col("shift").alias("doc_position"), "n_words")
+        )
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _block(spark: SparkSession, docs: DataFrame, items: list[tuple], kind: str, least: int) -> DataFrame:
-    vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in items for w in words}))}
-    doc_kind = dict(docs.dtypes)["doc_id"]
-    postings = stage(docs.mapInArrow(_index(vocabulary, least), f"term int, doc_id {doc_kind}, positions array<int>"), "postings")
-    counts = {r["term"]: r["n"] for r in postings.groupBy("term").agg(F.sum(F.size("positions")).alias("n")).collect()}
-    anchors = spark.createDataFrame(sorted(_anchors(items, vocabulary, counts, least)), "term int, number int, offset int")
-    test = spark.createDataFrame([(n, vocabulary[w], i) for n, (_, words) in enumerate(items) for i, w in enumerate(words)], "number int, term int, offset int")
-    names = spark.createDataFrame([(n, i) for n, (i, _) in enumerate(items)], f"number int, item_id {kind}")
-    # bounded by the block of items, and checked: beyond 10 MB the planner shuffles instead
-    alignments = stage(
-        postings.join(anchors, "term").select("doc_id", "number", F.explode("positions").alias("p"), "offset").select("doc_id", "number", (F.col("p") - F.col("offset")).alias("shift")).distinct(),
-        "alignments",
-    )
-    wanted = alignments.join(test, "number")
-    hits = (
-        postings.join(wanted, ["doc_id", "term"])
-        .where(F.array_contains("positions", F.col("shift") + F.col("offset")))
-        .groupBy("doc_id", "number", "shift").agg(F.sort_array(F.collect_set("offset")).alias("o"))
-    )
-    # the longest run of consecutive offsets: the largest set of equal offset minus rank
-    rank = F.transform("o", lambda x, i: x - i)
-    run = F.array_max(F.transform(F.array_distinct(rank), lambda r: F.size(F.filter(rank, lambda x: x == r))))
-    return (
-        hits.where(F.size("o") >= least).select("doc_id", "number", "shift", run.alias("n_words")).where(F.col("n_words") >= least)
-        .join(names, "number").select("doc_id", "item_id", F.col("shift").alias("doc_position"), "n_words")
-    )
+def near_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, share: float = 0.8, slop: int = 16) -> DataFrame:
+    """(doc_id, item_id, n_shared): proximity matches: passages of which at least ``share`` of the words stand in a text with shifts
+    (place in the text minus place in the passage) inside one window [k * slop, (k + 2) * slop). ``n_shared`` is the number of such words in the best window.
+
+    Words put in, left out or changed move the shift of what follows or lose a word each, so a retouched passage is still found. If
+    ``share`` of n words match, at least one of the n - ceil(share * n) + 1 rarest does: only their postings propose windows, and
+    nothing is lost. Nulls, blanks and repeated rows as in ``find_leaks``."""
+    kind, out = dict(items.dtypes)[item_id], None
+    for listed in _listed(items, item_id, passage, 1):
+        block = _Block(docs, doc_id, text, listed, kind, 1)
+        anchors = set()
+        for number, (_, words) in enumerate(listed):
+            codes = [block.vocabulary[w] for w in words]
+            rare = sorted(range(len(codes)), key=lambda j: (block.counts.get(codes[j], 0), j))[: len(codes) - ceil(share * len(codes) - 1e-9) + 1]
+            anchors |= {(codes[j], number, j) for j in rare}
+        window = F.explode(F.array(F.floor(F.col("shift") / slop), F.floor(F.col("shift") / slop) - 1))
+        windows = stage(block.shifts(anchors).select("doc_id", "number", window.alias("k")).distinct(), "windows")
+        inside = F.exists("positions", lambda p: (p - F.col("offset") >= F.col("k") * slop) & (p - F.col("offset") < (F.col("k") + 2) * slop))
+        shared = (
+            block.postings.join(windows.join(block.test, "number"), ["doc_id", "term"]).where(inside)
+            .groupBy("doc_id", "number", "k").agg(F.countDistinct("offset").alias("n_shared"))
+        )
+        found = (
+            shared.groupBy("doc_id", "number").agg(F.max("n_shared").alias("n_shared")).join(block.names, "number")
+            .where(F.col("n_shared") >= F.ceil(F.col("n") * share - 1e-9)).select("doc_id", "item_id", "n_shared")
+        )
+        out = found if out is None else out.unionByName(found)
+    return out

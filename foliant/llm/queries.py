@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.canonical import map_to_canonical
-from foliant.llm.leakage import find_leaks
+from foliant.llm.leakage import find_leaks, near_leaks
 from foliant.llm.packing import pack
 from foliant.llm.splitting import split_oversized
 from foliant.llm.tokens import token_count
@@ -91,6 +91,11 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("n_words").alias("longest"))
 
 
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in which four fifths of a passage's words stand in about their places."""
+    return near_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = split_oversized(table(spark, d, "documents"), "doc_id", "text", LIMIT, OVERLAP, with_text=False)
     return pieces.where("piece_no = 2").select(F.col("item").alias("doc_id"))
@@ -100,7 +105,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "documents"), "doc_id", "text", LIMIT, OVERLAP).withColumnRenamed("item", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p7_found, p7_unmatched, p8_found, p8_containers, p9_found, p9_items, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p7_found, p7_unmatched, p8_found, p8_containers, p9_found, p9_items, p9_near, p10_found, p10_pieces)}
 
 _TOKENS = "len(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\s]'))"
 SQL = {

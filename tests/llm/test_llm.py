@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliant.llm import variants
 from foliant.llm.canonical import map_to_canonical
 from foliant.llm.edit import BKTree, deletions, levenshtein, within
-from foliant.llm.leakage import find_leaks, words_of
+from foliant.llm.leakage import find_leaks, near_leaks, words_of
 from foliant.llm.names import read_name
 from foliant.llm.packing import BestTwoFit, pack
 from foliant.llm.splitting import boundaries, split_oversized, split_text, tree_pieces
@@ -245,6 +245,43 @@ def test_leaks(spark, seed):
     assert any(r["n_words"] == 20 and r["doc_position"] == 100_000 for r in whole)
 
 
+def brute_near(docs, items, share, slop):
+    out = {}
+    for d, t in docs:
+        w = words_of(t or "")
+        for i, p in items:
+            x = words_of(p or "")
+            seen = {}
+            for a, u in enumerate(w):
+                for b, v in enumerate(x):
+                    if u == v:
+                        for k in ((a - b) // slop, (a - b) // slop - 1):
+                            seen.setdefault(k, set()).add(b)
+            best = max(map(len, seen.values()), default=0)
+            if best and best >= share * len(x) - 1e-9:
+                out[d, i] = max(best, out.get((d, i), 0))
+    return out
+
+
+def test_near_leaks(spark):
+    rnd = random.Random(5)
+    text = lambda n: [f"w{rnd.randrange(40)}" for _ in range(n)]
+    items = [(i, " ".join(text(25))) for i in range(10)] + [(50, None), (51, ""), (52, "w1")]
+    docs = []
+    for d in range(80):
+        p = (rnd.choice(items)[1] or "w1").split()
+        for _ in range(rnd.randrange(8)):
+            at = rnd.randrange(len(p))
+            p[at : at + rnd.randrange(2)] = rnd.choice([[], ["zz"], ["w3"]])
+            p = p or ["w2"]
+        docs.append((d, " ".join(text(20) + p + text(20))))
+    docs += [(90, None), (91, "")]
+    args = spark.createDataFrame(docs, "d long, t string").repartition(3), "d", "t", spark.createDataFrame(items, "i long, p string"), "i", "p"
+    got = {(r["doc_id"], r["item_id"]): r["n_shared"] for r in near_leaks(*args, share=0.8, slop=4).collect()}
+    assert got == brute_near(docs, items, 0.8, 4) and len(got) > 30
+    assert near_leaks(args[0].where("false"), *args[1:]).count() == near_leaks(*args[:3], args[3].where("false"), "i", "p").count() == 0
+
+
 def test_leaks_empty(spark):
     docs = spark.createDataFrame([(1, "a b c")], "d long, t string")
     items = spark.createDataFrame([], "i long, p string")
