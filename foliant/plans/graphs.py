@@ -151,7 +151,7 @@ SQL = {
 docs as (select 'doc-' || coalesce(i.doc_id, c.doc_id) as id, 'document' as label, coalesce(title_guess, '') as name,
   array_to_string(list_filter([{_prop('file_type', 'file_type')}, {_prop('language', 'language')}, {_prop('pages', 'pages')}, case when s.status is not null then 'status=' || s.status end], lambda x: x is not null), ';') as props
   from inventory i full join (select distinct doc_id from cards where doc_id is not null) c on c.doc_id = i.doc_id left join s on s.doc_id = coalesce(i.doc_id, c.doc_id))
-select id, label, name, 1 as n_labels, props from docs
+select id, label, name, cast(1 as bigint) as n_labels, props from docs
 union all select 'acc-' || account_number, 'account', account, 1, array_to_string(list_filter([{_prop('country', 'country')}, {_prop('site', 'site')}], lambda x: x is not null), ';') from erp
 union all select distinct 'folder-' || pile_folder, 'folder', pile_folder, 1, '' from cards where pile_folder is not null""",
     "graph_edges": f"with {_GRAPH} select src, dst, type from edges",

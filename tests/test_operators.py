@@ -156,6 +156,24 @@ def test_units_and_ledger(spark):
     assert rows(L.extrapolate(df, 10)) == [("filer", "per document", 1000, 10000), ("judge", "per account", 50, None)]
 
 
+def test_small_helpers(spark, tmp_path):
+    from foliant.functions.cascade import first_match
+    from foliant.sources import tables
+
+    df = spark.createDataFrame([(1,), (5,), (None,)], "x int")
+    assert [r[0] for r in df.select(first_match([(df.x > 3, "big"), (df.x > 0, F.lit("small"))], "none")).collect()] == ["small", "big", "none"]
+    assert df.select(first_match([], "d")).first()[0] == "d"
+    old, new = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int"), spark.createDataFrame([("b", 9)], "k string, v int")
+    assert rows(C.upsert(old, ["k"], new)) == [("a", 1), ("b", 9), (None, 3)]
+    assert C.same_coverage(old, old.unionByName(old), "k").first()[0] and not C.same_coverage(old, new, "k").first()[0]
+    (tmp_path / "erp_1.csv").write_text("a")
+    assert tables.control_file(spark, str(tmp_path), "erp*").endswith("erp_1.csv") and tables.control_file(spark, str(tmp_path), "x*") is None
+    (tmp_path / "erp_2.csv").write_text("a")
+    with pytest.raises(tables.BadTable):
+        tables.control_file(spark, str(tmp_path), "erp*")
+    assert tables.as_at_in_headers(["Name", "Status (as at the day 2026-06-01)"]) == "2026-06-01" and tables.as_at_in_headers(["as at"]) is None
+
+
 def test_empty_tables(spark):
     e = spark.createDataFrame([], "a string, b string, c string")
     assert rows(M.similar_sets(e, "a", "b", F.split("c", " "), 0.8)) == rows(C.changes(e, e, "a", ["b"])) == rows(G.tree_roots(e, "a", "b", "c")) == []
