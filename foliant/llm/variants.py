@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from foliant.llm.edit import deletions, within
 from foliant.llm.names import RADIUS, read_name
 from foliant.operators.components import connected_components
-from foliant.session import stage
+from foliant.session import discard, stage
 
 #: One key in so many of a block, chosen by its hash, is a pivot; every block has at least one.
 KEYS_PER_PIVOT = 2000
@@ -85,10 +85,10 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
     read = (
         names.select(F.col(name).alias("name")).where(F.trim("name") != "").distinct().mapInArrow(_read, "name string, block string, key string, first string, middle string")
     )
-    read = stage(read, "names")
+    plain = stage(read, "names")
     # a person whose first name is only an initial is a node of its own until the initial is settled
     sub = F.when(F.col("block").startswith("c:"), F.lit("")).when(F.col("first") == "", F.concat(F.lit("."), "middle")).otherwise(F.col("first"))
-    read = read.withColumn("node", F.concat_ws("\x1f", "block", "key", sub))
+    read = plain.withColumn("node", F.concat_ws("\x1f", "block", "key", sub))
     keys = stage(read.where("key <> ''").select("block", "key", "first", F.when((F.col("first") == "") | F.col("block").startswith("p:"), F.col("middle")).otherwise("").alias("middle")).distinct(), "keys")
     one = keys.select("block", "key").distinct()
     chosen = one.where(F.pmod(F.xxhash64("block", "key"), F.lit(KEYS_PER_PIVOT)) == 0).unionByName(one.groupBy("block").agg(F.min("key").alias("key")))
@@ -111,8 +111,9 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
     entity = connected_components(links.select(node("a").alias("a"), node("b").alias("b")).where("a <> b"))
     labelled = read.select("name", "node").join(entity, "node", "left").select("name", F.coalesce("component", "node").alias("entity"))
     labelled = stage(labelled, "entities")
+    discard(plain, keys)
     sizes = labelled.groupBy("entity").agg((F.count("*") - 1).alias("n_links"))
-    return labelled.join(sizes, "entity").select("name", "entity", "n_links")
+    return labelled.join(sizes, "entity").select("name", F.left(F.sha2("entity", 256), F.lit(20)).alias("entity"), "n_links")
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:
