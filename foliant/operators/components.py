@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.session import stage
+from foliant.session import discard, stage
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,6 +21,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         step = label.join(near, "node").select("node", "component", F.least("component", "other").alias("new"))
         jump = label.select(F.col("node").alias("new"), F.col("component").alias("further"))
         moved = stage(step.join(jump, "new", "left").select("node", F.least("new", "further").alias("component"), (F.least("new", "further") != F.col("component")).alias("changed")), "labels")
-        label = moved.select("node", "component")
+        discard(label)
+        label = moved
         if not moved.where("changed").limit(1).count():
-            return label
+            discard(both)
+            return moved.select("node", "component")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.session import stage
+from foliant.session import discard, stage
 
 CYCLE = "cycle"
 
@@ -32,7 +32,7 @@ def resolve(links: DataFrame, with_path: bool = True) -> DataFrame:
     the nodes share finds no partner at all; one below a root is split by adaptive skew handling, as the pointer side has one row a node."""
     up = ["up"] if with_path else []
     first = links.select("node", F.col("parent").alias("anc"), F.lit(1).alias("dist"), F.lit(False).alias("done"), *([F.array("parent").alias("up")] if with_path else []))
-    open_ = stage(first, "pointers")
+    open_ = start = stage(first, "pointers")
     closed: list[DataFrame] = []
     n_open = open_.count()
     while n_open:
@@ -46,6 +46,8 @@ def resolve(links: DataFrame, with_path: bool = True) -> DataFrame:
             *[F.when(hit, F.concat("up", "q_up")).otherwise(F.col("up")).alias("up") for _ in up],
         )
         moved = stage(jumped, "pointers")
+        if not closed:
+            discard(start)
         n_left = moved.where("not done").count()
         closed.append(moved.where("done"))
         open_ = moved.where("not done")

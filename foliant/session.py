@@ -35,14 +35,23 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
     This cuts lineage, is read back column by column, and does not depend on any executor staying alive. The
-    folder goes when the JVM ends."""
+    folder goes when the JVM ends, or before by ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete written tables that no result still to be computed reads."""
+    for df in staged:
+        target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stage_path)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
