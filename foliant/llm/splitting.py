@@ -19,22 +19,28 @@ LEVELS = (
     ("paragraph", re.compile(r"^\[¶ \d+\]|(?<=\n)[^\S\n]*\n\s*(?=\S)|^#{1,6} ", re.M)),
     ("line", re.compile(r"\n\s*(?=\S)")),
     ("sentence", re.compile(r"(?<=[.!?])[\"'”)\]]*\s+(?=\S)")),
-    ("clause", re.compile(r"(?<=[;:,])\s+(?=\S)")),
+    ("clause", re.compile(r"(?<=[;:,])\s+(?=\S)|(?<=[;|])(?=\w)")),
+    ("word", re.compile(r"\s+(?=\S)")),
 )
-WORD_LEVEL = len(LEVELS)
+TOKEN_LEVEL = len(LEVELS)
 
 
-def boundaries(text: str, starts: list[int]) -> list[list[int]]:
-    """For each level the token numbers at which a node of that level or a higher one opens, in order."""
-    out: list[list[int]] = []
-    opened: set[int] = set()
-    for _, pattern in LEVELS:
-        opened = opened | {bisect_left(starts, m.end() if m.group().isspace() else m.start()) for m in pattern.finditer(text)}
-        out.append(sorted(i for i in opened if 0 < i < len(starts)))
-    return out
+class Boundaries:
+    """For each level the token numbers at which a node of that level or a higher one opens, in order. A level is looked for only when
+    some node is taken apart there, which for the lower ones is rare."""
+
+    def __init__(self, text: str, starts: list[int]) -> None:
+        self.text, self.starts, self.found = text, starts, []
+
+    def __getitem__(self, level: int) -> list[int]:
+        while len(self.found) <= level:
+            opened = set(self.found[-1]) if self.found else set()
+            opened |= {bisect_left(self.starts, m.end() if m.group().isspace() else m.start()) for m in LEVELS[len(self.found)][1].finditer(self.text)}
+            self.found.append(sorted(i for i in opened if 0 < i < len(self.starts)))
+        return self.found[level]
 
 
-def tree_pieces(n: int, levels: list[list[int]], limit: int) -> list[int]:
+def tree_pieces(n: int, levels: Boundaries, limit: int) -> list[int]:
     """Starts of the pieces of ``n`` tokens, none longer than ``limit``.
 
     A node within the limit stays whole. An oversized one is taken apart into its children, each handled likewise, and neighbours
@@ -43,7 +49,7 @@ def tree_pieces(n: int, levels: list[list[int]], limit: int) -> list[int]:
     def units(a: int, b: int, level: int) -> list[tuple[int, int]]:
         if b - a <= limit:
             return [(a, b)]
-        if level == WORD_LEVEL:
+        if level == TOKEN_LEVEL:
             return [(i, min(i + limit, b)) for i in range(a, b, limit)]
         cuts = levels[level]
         inner = cuts[bisect_left(cuts, a + 1) : bisect_left(cuts, b)]
@@ -68,7 +74,7 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int,
     n = len(starts)
     if n <= limit:
         return [(0, 0, len(text), n)] if n else []
-    cuts = tree_pieces(n, boundaries(text, starts), limit - overlap)
+    cuts = tree_pieces(n, Boundaries(text, starts), limit - overlap)
     out = []
     for i, a in enumerate(cuts):
         b = cuts[i + 1] if i + 1 < len(cuts) else n

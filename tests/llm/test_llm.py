@@ -14,7 +14,7 @@ from foliant.llm.edit import BKTree, deletions, levenshtein, within
 from foliant.llm.leakage import find_leaks, near_leaks, words_of
 from foliant.llm.names import read_name
 from foliant.llm.packing import BestTwoFit, pack
-from foliant.llm.splitting import boundaries, split_oversized, split_text, tree_pieces
+from foliant.llm.splitting import Boundaries, split_oversized, split_text, tree_pieces
 from foliant.llm.tokens import TOKEN, token_count
 from foliant.llm.variants import link_names, variant_pairs
 from tests.helpers import rows
@@ -183,13 +183,18 @@ def test_split_round_trip(words, limit, overlap):
 def test_split_prefers_natural_boundaries():
     text = "=== page 1 ===\n" + "one two three. " * 5 + "\n\n" + "four five six. " * 5 + "\n=== page 2 ===\n" + "seven eight. " * 4
     starts = [m.start() for m in TOKEN.finditer(text)]
-    levels = boundaries(text, starts)
+    levels = Boundaries(text, starts)
     assert [text[starts[i] :][:8] for i in levels[0]] == ["=== page"] and set(levels[0]) <= set(levels[1]) <= set(levels[2])
     cuts = tree_pieces(len(starts), levels, 30)
     assert [text[starts[i] :][:8] for i in cuts] == ["=== page", "four fiv", "=== page"]
     assert all(text[starts[i] :].startswith("one") for i in tree_pieces(len(starts), levels, 20)[1:2])
 
 
+def test_split_unbroken_list():
+    text = ";".join(f"name{i}=12" for i in range(300))
+    assert all(text[new - 1] == ";" for _, new, _, _ in split_text(text, 100, 10)[1:])
+
+
 def test_split_table(spark):
     long = "word " * 60_000
     df = spark.createDataFrame([(1, "a b", 0), (2, None, 0), (3, "", 0), (4, " \n", 0), (5, long, 0), (5, "a b", 0), (6, "x" * 300_000, 0)], "id int, text string, item int")
