@@ -77,7 +77,7 @@ def _candidates(ends: dict[str, str]):
         splitters = {f: Splitter(e) for f, e in ends.items()}
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], [], []]
-            for row_id, field, cell in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for row_id, field, cell, mark in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 s, parses = splitters[field], {}
                 for mask, quoting in s.dialects(cell):
                     entries = tuple(s.parse(cell, mask, quoting))
@@ -86,7 +86,7 @@ def _candidates(ends: dict[str, str]):
                     if entries not in parses or (bits, code) < parses[entries][:2]:
                         parses[entries] = (bits, code)
                 for entries, (bits, code) in parses.items():
-                    for x, v in zip(rows, (row_id, field, hash(cell), code, len(parses), bits, [{"text": e, "bits": CHAR_BITS * len(e), "fault": BROKEN_BITS * s.broken(e)} for e in entries]), strict=True):
+                    for x, v in zip(rows, (row_id, field, mark, code, len(parses), bits, [{"text": e, "bits": CHAR_BITS * len(e), "fault": BROKEN_BITS * s.broken(e)} for e in entries]), strict=True):
                         x.append(v)
             t = pa.list_(pa.struct([("text", pa.string()), ("bits", pa.float64()), ("fault", pa.float64())]))
             types = (batch.schema.types[0], pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), t)
@@ -114,7 +114,7 @@ def split_packed(rows: DataFrame, row_id: str, ends: dict[str, str], least: int
     cells = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("cell")) for f in ends])
     flat = (
         rows.select(F.col(row_id).alias("row_id"), F.explode(cells).alias("c"))
-        .select("row_id", "c.field_name", "c.cell")
+        .select("row_id", "c.field_name", "c.cell", F.xxhash64("c.cell").alias("mark"))
         .where(F.col("cell").isNotNull() & ~F.lower(F.trim("cell")).isin("", *NO_ENTRY))
     )
     kind = dict(flat.dtypes)["row_id"]
