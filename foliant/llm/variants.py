@@ -82,8 +82,10 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
     its nearest pivot and is copied to each pivot at most 2 * RADIUS further away, since by the triangle inequality a neighbour within
     the radius cannot live anywhere else. A cell is joined exactly. Cells hold some KEYS_PER_PIVOT home keys, so a block that holds
     a third of all keys is many tasks. Names of one key never meet in a cell: copies were set aside before."""
+    # distinct names are small in bytes but dear to read: they are spread over all cores, not packed by size
+    cores = names.sparkSession.sparkContext.defaultParallelism
     read = (
-        names.select(F.col(name).alias("name")).where(F.trim("name") != "").distinct().mapInArrow(_read, "name string, block string, key string, first string, middle string")
+        names.select(F.col(name).alias("name")).where(F.trim("name") != "").distinct().repartition(cores, "name").mapInArrow(_read, "name string, block string, key string, first string, middle string")
     )
     plain = stage(read, "names")
     # a person whose first name is only an initial is a node of its own until the initial is settled
@@ -105,7 +107,7 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
     )
     placed = cells.select("block", "key", F.col("p.pivots").alias("pivot"), (F.col("i") == F.col("at")).alias("home")).join(keys, ["block", "key"])
     # cells are small in bytes but dear in time, so their number of tasks follows the keys and not the size
-    tasks = min(keys.count() // KEYS_PER_TASK + 1, 10_000)
+    tasks = min(max(keys.count() // KEYS_PER_TASK + 1, cores), 10_000)
     links = placed.repartition(tasks, "block", "pivot").groupBy("block", "pivot").applyInPandas(_cell_links, "block string, key_a string, first_a string, key_b string, first_b string")
     node = lambda x: F.concat_ws("\x1f", "block", f"key_{x}", f"first_{x}")
     entity = connected_components(links.select(node("a").alias("a"), node("b").alias("b")).where("a <> b"))
