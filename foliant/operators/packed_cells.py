@@ -121,14 +121,13 @@ def split_packed(rows: DataFrame, row_id: str, ends: dict[str, str], least: int
     parsed = stage(flat.mapInArrow(_candidates(dict(ends)), f"row_id {kind}, field_name string, cell long, dialect int, n_dialects int, bits double, entries array<struct<text:string,bits:double,fault:double>>"), "parses")
     value = F.xxhash64("field_name", "e.text")
     counts = parsed.select("field_name", F.explode("entries").alias("e")).groupBy(value.alias("value")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").cast("double").alias("total"))
+    total = F.lit(float(parsed.agg(F.sum(F.size("entries"))).first()[0] or 1))
     scored = (
         parsed.where("n_dialects > 1")
         .select("row_id", "field_name", "cell", "dialect", F.col("bits").alias("base"), F.posexplode("entries").alias("i", "e"))
         .withColumn("value", value)
         .join(counts, "value")
-        .crossJoin(F.broadcast(total))
-        .select("row_id", "field_name", "cell", "dialect", "base", F.struct("i", "e.text").alias("entry"), F.when(F.col("e.fault") > 0, F.col("e.bits") + F.col("e.fault")).otherwise(value_bits(F.col("n"), F.col("total"), F.col("e.bits"))).alias("cost"))
+        .select("row_id", "field_name", "cell", "dialect", "base", F.struct("i", "e.text").alias("entry"), F.when(F.col("e.fault") > 0, F.col("e.bits") + F.col("e.fault")).otherwise(value_bits(F.col("n"), total, F.col("e.bits"))).alias("cost"))
     )
     by = ["row_id", "field_name", "cell"]
     best = (

@@ -143,7 +143,7 @@ def top_scope(spark: SparkSession, d: str) -> DataFrame:
     """Documents of the accounts in scope, and readable documents that no account has."""
     scope = accounts(spark, d).where("country = 'Italy'").select("account_number")
     filed = unique_key_match(spark, d).where("account_number is not null").join(table(spark, d, "cards").select("card_no", "doc_id"), "card_no")
-    inside = filed.join(F.broadcast(scope), "account_number", "left_semi").select("doc_id").distinct().withColumn("part", F.lit("in scope"))
+    inside = filed.join(scope, "account_number", "left_semi").select("doc_id").distinct().withColumn("part", F.lit("in scope"))
     readable = table(spark, d, "inventory").where("readable = 'yes'").select("doc_id")
     return inside.unionByName(readable.join(filed, "doc_id", "left_anti").withColumn("part", F.lit("unfiled")))
 
