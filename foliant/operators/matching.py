@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.session import stage
+
 
 def unique_index(df: DataFrame, key: Column, value: str) -> DataFrame:
     """(key, value) for keys that one different value has; keys that several share, null and '' are left out."""
@@ -73,6 +75,7 @@ def similar_sets(df: DataFrame, row_id: str, group: str, tokens: Column, least:
         sets.select("id", "grp", F.explode("t").alias("token")).join(freq, "token").groupBy("id", "grp")
         .agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("s")).select("id", "grp", F.transform("s", lambda x: x["token"]).alias("t"))
     )
+    ranked = stage(ranked, "ranked")  # read by both sides of the join below
     keep = F.size("t") - F.ceil(F.lit(least) * F.size("t") - 1e-9) + 1
     head = ranked.select("id", "grp", "t", F.explode(F.slice("t", F.lit(1), keep.cast("int"))).alias("token"))
     a, b = head.alias("a"), head.alias("b")
@@ -85,8 +88,6 @@ def numbered(df: DataFrame, order: list[str], start: int, name: str = "number")
     """Rows numbered from ``start`` in the given order (W02), without a single-task window.
 
     Rows are range-partitioned and numbered within partitions; the only thing gathered is a count for each partition."""
-    from foliant.session import stage
-
     local = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i")), "numbered")
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     base = local.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_first")).withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
