@@ -183,6 +183,14 @@ def md_cell(s: Column) -> Column:
     return F.replace(F.regexp_replace(F.coalesce(s, F.lit("")), r"\s*\n\s*", " "), F.lit("|"), F.lit("\\|"))
 
 
+def same_instrument(ref_a: Column, title_a: Column, ref_b: Column, title_b: Column) -> Column:
+    """Equal references where both have one, else titles that are equal or at least 0.6 alike; a missing title speaks for it."""
+    a, b = ref_key(ref_a), ref_key(ref_b)
+    bare = lambda t: F.coalesce(t, F.lit("")) == ""
+    alike = bare(title_a) | bare(title_b) | (norm_name(title_a) == norm_name(title_b)) | (title_similarity(title_a, title_b) >= 0.6)
+    return F.when((a != "") & (b != ""), a == b).otherwise(alike)
+
+
 def word_count(s: Column) -> Column:
     """F22"""
     return F.size(F.filter(F.split(F.trim(F.coalesce(s, F.lit(""))), r"\s+"), lambda w: w != ""))

@@ -84,6 +84,28 @@ def similar_sets(df: DataFrame, row_id: str, group: str, tokens: Column, least:
     return pairs.select(F.col("a.grp").alias(group), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), sim.alias("similarity")).where(F.col("similarity") >= least).distinct()
 
 
+def similar_between(left: DataFrame, right: DataFrame, group: str, key: str, least: float) -> DataFrame:
+    """(group, key_a, key_b): keys of ``left`` and ``right``, token sets written with spaces, of one group with a Jaccard similarity of at least ``least``.
+
+    The prefix filter of ``similar_sets``, but only keys of different sides meet. A first shared token must also leave enough tokens behind it on both sides."""
+    both = left.select(F.col(group).alias("grp"), F.col(key).alias("key"), F.lit(True).alias("l")).unionByName(right.select(F.col(group).alias("grp"), F.col(key).alias("key"), F.lit(False).alias("l")))
+    sets = both.where("key <> '' and grp is not null").groupBy("grp", "key").agg(F.max("l").alias("in_a"), F.max(~F.col("l")).alias("in_b")).withColumn("t", F.array_distinct(F.split("key", " ")))
+    freq = sets.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    ranked = (
+        sets.select("grp", "key", "in_a", "in_b", F.explode("t").alias("token")).join(freq, "token").groupBy("grp", "key", "in_a", "in_b")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("s")).select("grp", "key", "in_a", "in_b", F.transform("s", lambda x: x["token"]).alias("t"))
+    )
+    ranked = stage(ranked, "ranked")
+    keep = F.size("t") - F.ceil(F.lit(least) * F.size("t") - 1e-9) + 1
+    head = ranked.select("grp", "key", "in_a", "in_b", "t", F.posexplode(F.slice("t", F.lit(1), keep.cast("int"))).alias("i", "token"))
+    a, b = head.where("in_a").alias("a"), head.where("in_b").alias("b")
+    room = F.least(F.size("a.t") - F.col("a.i"), F.size("b.t") - F.col("b.i"))
+    enough = room * (1 + least) >= least * (F.size("a.t") + F.size("b.t")) - 1e-9
+    pairs = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.token") == F.col("b.token")) & enough)
+    sim = F.size(F.array_intersect("a.t", "b.t")) / F.size(F.array_union("a.t", "b.t"))
+    return pairs.where(sim >= least).select(F.col("a.grp").alias(group), F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()
+
+
 def numbered(df: DataFrame, order: list[str], start: int, name: str = "number") -> DataFrame:
     """Rows numbered from ``start`` in the given order (W02), without a single-task window.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import dates as D
@@ -151,13 +151,14 @@ def top_scope(spark: SparkSession, d: str) -> DataFrame:
 def parents_by_reference(spark: SparkSession, d: str) -> DataFrame:
     """The longest title of the same folder that stands, word by word, in the parent words.
 
-    Containment becomes an equi-join: the parent words are exploded into their word runs of up to six words."""
+    Containment becomes an equi-join: the parent words are exploded into their word runs, as long as the longest title."""
     c = table(spark, d, "cards").where("pile_folder is not null")
     words = F.split(T.norm_name(F.regexp_replace("q6_attaches_to", r"[^A-Za-z0-9]+", " ")), " ")
     c = c.withColumn("w", words)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(2), F.lit(6)), lambda n: F.array_join(F.slice("w", i, n), " "))))
-    child = c.where(~T.is_empty_answer(F.col("q6_attaches_to"))).select("card_no", "doc_id", "pile_folder", F.explode(F.array_distinct(runs)).alias("run"))
     title = T.norm_name(F.regexp_replace("q1_title", r"[^A-Za-z0-9]+", " "))
+    longest = max(c.agg(F.max(F.size(F.split(title, " ")))).first()[0] or 0, 2)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(2), F.lit(longest)), lambda n: F.array_join(F.slice("w", i, n), " "))))
+    child = c.where(~T.is_empty_answer(F.col("q6_attaches_to"))).select("card_no", "doc_id", "pile_folder", F.explode(F.array_distinct(runs)).alias("run"))
     titles = c.select("pile_folder", title.alias("run"), F.col("doc_id").alias("parent")).where(F.length("run") >= 4).groupBy("pile_folder", "run").agg(F.min("parent").alias("parent"), F.max("parent").alias("other"))
     hit = child.join(titles, ["pile_folder", "run"]).where("parent = other and parent <> doc_id")
     return hit.groupBy("card_no").agg(F.max_by("parent", F.struct(F.length("run"), "run")).alias("parent_doc"))
@@ -173,7 +174,7 @@ def parents_by_date(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parents_by_title(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of cards of one folder whose titles are at least 0.8 alike, as the number of partners of each card.
+    """Pairs of cards of one folder whose titles are at least 0.8 alike, as the number of partners of each card. The parents of J17 are in ``parents_by_words``.
 
     A folder's equal titles are one representative, so a hot folder does not square its copies."""
     c = table(spark, d, "cards").where("pile_folder is not null").withColumn("key", F.array_join(F.sort_array(T.title_tokens(F.col("q1_title"))), " ")).where("key <> ''")
@@ -185,6 +186,34 @@ def parents_by_title(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("id", F.concat_ws("\x1f", "pile_folder", "key")).join(n, "id").join(extra, "id", "left").select("card_no", (F.col("n") - 1 + F.coalesce("extra", F.lit(0))).alias("n_alike"))
 
 
+#: an arrow and its target end an entry of a link cell; what stands before them are the parent words
+LINK_TARGET = r"(?i)\s*(?:→|->|=>)\s*(?:not in pile|doc\b[\s.:#]*\d+)"
+
+
+def parents_by_words(spark: SparkSession, d: str) -> DataFrame:
+    """For each entry of the parent words the one other document of the folder with a title at least 0.6 alike; none if several have one.
+
+    Words and titles are compared once for each folder. Three documents a title are enough to tell one from several when the card's own is left out."""
+    key = lambda t: F.array_join(F.sort_array(t), " ")
+    c = table(spark, d, "cards").where("pile_folder is not null")
+    entries_of = F.filter(F.transform(F.split("q6_attaches_to", LINK_TARGET), lambda e: key(T.title_tokens(e))), lambda k: k != "")
+    child = c.where(~T.is_empty_answer(F.col("q6_attaches_to"))).select("card_no", "doc_id", "pile_folder", F.posexplode(entries_of).alias("i", "key"))
+    titles = c.select("pile_folder", key(T.title_tokens(F.col("q1_title"))).alias("key"), F.col("doc_id").alias("parent")).where("key <> '' and parent is not null").distinct()
+    three = titles.withColumn("k", F.row_number().over(Window.partitionBy("pile_folder", "key").orderBy("parent"))).where("k <= 3").groupBy("pile_folder", "key").agg(F.collect_list("parent").alias("docs"))
+    near = M.similar_between(child, titles, "pile_folder", "key", 0.6)
+    found = near.join(three.withColumnRenamed("key", "key_b"), ["pile_folder", "key_b"]).groupBy("pile_folder", F.col("key_a").alias("key")).agg(F.array_distinct(F.flatten(F.collect_list("docs"))).alias("docs"))
+    others = child.join(found, ["pile_folder", "key"]).withColumn("others", F.array_except("docs", F.array("doc_id")))
+    return others.where(F.size("others") == 1).select("card_no", (F.col("i") + 1).cast("int").alias("entry_no"), F.get("others", F.lit(0)).alias("parent_doc"))
+
+
+def copy_instruments(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a copy or draft and the document it names are one instrument. Cards have no reference of their own, so titles decide; a document's first card stands."""
+    c = table(spark, d, "cards").withColumn("best", first_doc_number(F.col("q9_copy_or_draft_of")))
+    body = c.groupBy(F.col("doc_id").alias("best")).agg(F.min_by(F.struct("q1_title"), "card_no").alias("b"))
+    none = F.lit(None).cast("string")
+    return c.where("best is not null").join(body, "best").select("card_no", "best", T.same_instrument(none, F.col("q1_title"), none, F.col("b.q1_title")).alias("same"))
+
+
 def drafts_to_best(spark: SparkSession, d: str) -> DataFrame:
     """A copy or draft beside the document it names: draft on or before it, fragment within 45 days after it, else unrelated."""
     c = table(spark, d, "cards").withColumn("start", D.whole_date(F.col("q4_start_date"))).withColumn("best", first_doc_number(F.col("q9_copy_or_draft_of")))
@@ -208,7 +237,7 @@ QUERIES = {
     for f in (
         exact_name_match, unique_key_match, conflicting_map_rows, token_candidates, prefix_streams, same_stem_accounts, number_backfill, priority_dedupe,
         dominant_party, holding_groups, best_match_first, export_rows, review_rows_match, missing_and_strays, empty_accounts, top_scope,
-        parents_by_reference, parents_by_date, parents_by_title, drafts_to_best, ending_effects,
+        parents_by_reference, parents_by_date, parents_by_title, parents_by_words, copy_instruments, drafts_to_best, ending_effects,
     )
 }
 
@@ -231,6 +260,7 @@ matched as (select card_no, entry_no, name, coalesce(i1.v, i2.v, i3.v) as accoun
   case when i1.v is not null then 'same name' when i2.v is not null then 'group key' when i3.v is not null then 'core name' end as basis
   from entries left join i1 on i1.key = {q_norm("name")} left join i2 on i2.key = {q_group("name")} left join i3 on i3.key = {q_core("name")})"""
 _CLEAN = "trim(regexp_replace(lower(regexp_replace(coalesce({0}, ''), '[^A-Za-z0-9]+', ' ', 'g')), '\\s+', ' ', 'g'))"
+_TARGET = LINK_TARGET
 _START = _q_date("q4_start_date", "\\s*$")
 _DOC = "case when length(regexp_extract({0}, '(?i)\\bdoc\\b[\\s.:#]*(\\d+)', 1)) < 8 then nullif(lpad(regexp_extract({0}, '(?i)\\bdoc\\b[\\s.:#]*(\\d+)', 1), 8, '0'), '00000000') else regexp_extract({0}, '(?i)\\bdoc\\b[\\s.:#]*(\\d+)', 1) end"
 
@@ -280,6 +310,15 @@ select card_no, arg_min(parent, pos) as parent_doc from k join b using (pile_fol
 u as (select pile_folder, t, count(*) as n from c where len(t) > 0 group by all),
 p as (select a.pile_folder, a.t, sum(b.n) as n from u a join u b using (pile_folder) where len(list_intersect(a.t, b.t)) >= 0.8 * len(list_distinct(list_concat(a.t, b.t))) group by all)
 select card_no, cast(n - 1 as bigint) as n_alike from c join p using (pile_folder, t)""",
+    "parents_by_words": f"""with c as (select card_no, doc_id, pile_folder, q1_title, q6_attaches_to from cards where pile_folder is not null),
+t as (select distinct pile_folder, doc_id as parent, {q_titles('q1_title')} as t from c where doc_id is not null),
+l as (select card_no, doc_id, pile_folder, list_filter(list_transform(regexp_split_to_array(q6_attaches_to, '{_TARGET}'), lambda e: {q_titles('e')}), lambda x: len(x) > 0) as w
+  from c where {q_norm('q6_attaches_to')} not in ({_EMPTY})),
+e as (select card_no, doc_id, pile_folder, unnest(w) as w, cast(unnest(range(1, len(w) + 1)) as integer) as entry_no from l)
+select card_no, entry_no, min(parent) as parent_doc from e join t using (pile_folder)
+where parent is distinct from doc_id and len(t) > 0 and 10 * len(list_intersect(w, t)) >= 6 * len(list_distinct(list_concat(w, t))) group by all having count(distinct parent) = 1""",
+    "copy_instruments": f"""with c as (select card_no, doc_id, q1_title as t, {_DOC.format('q9_copy_or_draft_of')} as best from cards), b as (select doc_id as best, first_value(t) over (partition by doc_id order by card_no) as bt, row_number() over (partition by doc_id order by card_no) as k from c)
+select card_no, best, coalesce(t, '') = '' or coalesce(bt, '') = '' or {q_norm('t')} = {q_norm('bt')} or {q_similarity('t', 'bt')} >= 0.6 as same from c join b using (best) where k = 1""",
     "drafts_to_best": f"""with c as (select card_no, doc_id, {_START} as s, {_DOC.format('q9_copy_or_draft_of')} as best from cards), b as (select doc_id as best, min(s) as bs from c group by all)
 select card_no, best, case when s is null or bs is null then 'undated' when s <= bs then 'on or before' when s <= bs + 45 then 'within 45 days' else 'later' end as relation from c join b using (best)""",
     "ending_effects": f"""with c as (select {_START} as s, {_DOC.format('q6_attaches_to')} as doc_id, lower(trim(q1_kind)) as kind from cards)

@@ -13,6 +13,7 @@ from foliant.operators import graph as G
 from foliant.operators import ledger as L
 from foliant.operators import matching as M
 from foliant.operators import units as U
+import __spark_entry__ as entry
 from tests.helpers import rows
 
 
@@ -182,3 +183,23 @@ def test_empty_tables(spark):
         from foliant.session import bounded_rows
 
         bounded_rows(spark.range(5), 4, "it")
+
+
+def test_parents_by_words(spark, tmp_path):
+    cards = [
+        (1, "1", "f", "Baslitket Supply Deed", None, None), (2, "2", "f", "Closing Letter", "Supply Deed 'Baslitket' -> doc 9; Closing Letter dated 3 May 2019 → not in pile", "doc 1"),
+        (3, "3", "f", "Freight Annex", "Freight Annex => doc 00000004", None), (4, "4", "f", "Freight Annex", None, "doc 00000003 (draft)"), (5, "5", "f", "Freight Annex 2020", "Freight Annex", None),
+        (6, "6", "g", "Site Letter", "Freight Annex", "doc 00000003"), (7, "00000003", "g", "Site Letter", None, None), (8, "8", "h", "Freight Annex", "Freight Annex; x", None), (9, "9", "h", "Freight Annex", None, None),
+    ]
+    spark.createDataFrame(cards, "card_no long, doc_id string, pile_folder string, q1_title string, q6_attaches_to string, q9_copy_or_draft_of string").write.parquet(f"{tmp_path}/cards.parquet")
+    q = entry.queries()
+    # two documents qualify for card 5; card 3 has two others; card 8 has one besides itself; "g" has no such title
+    assert rows(q["parents_by_words"](spark, str(tmp_path))) == [(2, 1, "1"), (8, 1, "9")]
+    assert rows(q["copy_instruments"](spark, str(tmp_path))) == [(4, "00000003", False), (6, "00000003", True)]
+    pairs = [("A/1", "x", "a 1", "y"), ("A/1", "x", "B", "x"), (None, "Supply Deed One", "B", "Supply Deed One Two"), (None, "Supply Deed", None, "Rebate Note"), (None, None, None, "Rebate Note")]
+    df = spark.createDataFrame(pairs, "ra string, ta string, rb string, tb string")
+    assert [r[0] for r in df.select(T.same_instrument(df.ra, df.ta, df.rb, df.tb)).collect()] == [True, False, True, False, True]
+    # titles of more than six words are found, too
+    long = "one two three four five six seven eight"
+    spark.createDataFrame([(1, "1", "f", long, None), (2, "2", "f", "x", f"see {long} below")], "card_no long, doc_id string, pile_folder string, q1_title string, q6_attaches_to string").write.parquet(f"{tmp_path}/long/cards.parquet")
+    assert rows(q["parents_by_reference"](spark, f"{tmp_path}/long")) == [(2, "1")]
