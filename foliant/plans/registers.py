@@ -116,12 +116,23 @@ def form_health(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct pages cited for each document over all its evidence."""
+    """Distinct pages cited for each document in its evidence of questions 2, 3 and 6; over all its evidence in ``pages_cited``."""
     c = table(spark, d, "cards")
     pages = F.array_union(F.array_union(T.cited_pages(F.col("q2_evidence")), T.cited_pages(F.col("q3_evidence"))), T.cited_pages(F.col("q6_evidence")))
     return c.select("doc_id", F.explode(pages).alias("p")).groupBy("doc_id").agg(F.countDistinct("p").alias("n_pages"))
 
 
+def evidence_fields(c: DataFrame) -> list[str]:
+    return [x for x in c.columns if x.startswith("q") and x.endswith("_evidence")]
+
+
+def pages_cited(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct pages cited for each document over all its evidence, every evidence column of the table."""
+    c = table(spark, d, "cards")
+    pages = F.flatten(F.array(*[T.cited_pages(F.col(f)) for f in evidence_fields(c)]))
+    return c.select("doc_id", F.explode(pages).alias("p")).groupBy("doc_id").agg(F.countDistinct("p").alias("n_pages"))
+
+
 def eval_grid(spark: SparkSession, d: str) -> DataFrame:
     """Every question in each of three access modes, with the account's name where it has one; the grid is an explode, not a join."""
     e = table(spark, d, "eval_items").select("item_id", "scope", "account_number", F.explode(F.array(F.lit("A"), F.lit("B"), F.lit("C"))).alias("mode"))
@@ -261,7 +272,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         inventory_totals, page_kinds, text_units, bounded_packet, language_guess, language_confusion, accounts_register, cost_by_role, cost_extrapolation,
-        request_complete_pairs, exact_duplicates, row_conflicts, gap_ranking, form_health, eval_pages, eval_grid, key_scoring, duplicate_names, question_counts,
+        request_complete_pairs, exact_duplicates, row_conflicts, gap_ranking, form_health, eval_pages, pages_cited, eval_grid, key_scoring, duplicate_names, question_counts,
         assigned_numbers, answer_lookup, corrections_overlay, corpus_wide, changed_rows, scoped_replay, folder_lists, long_evidence, quoted_passages,
         answer_flags, link_targets, section_once, source_freshness, alias_registry, event_props,
     )
@@ -283,6 +294,7 @@ _OVERLAY = f"o as (select c.*, " + ", ".join(f"coalesce((select v from x where x
 _REFS = "case when length(n) < 8 then lpad(n, 8, '0') else n end"
 _DOCS = "regexp_extract_all({0}, '(?i)\\bdoc\\b[\\s.:#]*(\\d+)', 1)"
 _FORM = "q1_title q1_kind q2_their_signing_entities q2_their_group_companies q2_our_entity q3_signed q4_start_date q4_start_basis q4_end q4_ended_sign q4_status q5_parts q5_parts_detail q5_precedence q6_attaches_to q6_replaces q6_referred_to_not_in_pile q7_trade_scope q7_what_makes_it_govern q8_entities_covered q8_countries q9_copy_or_draft_of q9_better_copy q10_oddities".split()
+_EVIDENCE = "q2_evidence q3_evidence q4_evidence q6_evidence q7_evidence".split()
 _PAGE_CITES = "regexp_extract_all(lower(coalesce({0}, '')), '\\b(?:pages?|pp?\\.)\\s*(\\d{{1,5}}(?:\\s*[-–]\\s*\\d{{1,5}})?)', 1)"
 _EXPAND = "flatten(list_transform({0}, lambda x: case when regexp_matches(x, '[-–]') and cast(regexp_extract(x, '(\\d+)$', 1) as integer) >= cast(regexp_extract(x, '^(\\d+)', 1) as integer) then range(cast(regexp_extract(x, '^(\\d+)', 1) as integer), cast(regexp_extract(x, '(\\d+)$', 1) as integer) + 1) else [cast(regexp_extract(x, '^(\\d+)', 1) as integer)] end))"
 
@@ -318,6 +330,7 @@ select stage, count(*) filter (req) as requested, count(*) filter (req and done)
     "gap_ranking": "select field, coalesce(pile_folder, '') as place, count(distinct doc_id) as n_docs from (" + " union all ".join(f"select doc_id, pile_folder, '{f}' as field from cards where {f} is null or {q_norm(f)} = 'not found'" for f in GAP_FIELDS) + ") group by all",
     "form_health": "select path, count(*) filter (v not in ('', 'not found', 'unsure', 'can''t tell')) as answered, count(*) filter (v in ('', 'not found')) as not_found, count(*) filter (v in ('unsure', 'can''t tell')) as not_sure from (" + " union all ".join(f"select '{f}' as path, {q_norm(f)} as v from cards" for f in _FORM) + ") group by path",
     "eval_pages": "select doc_id, count(distinct p) as n_pages from (" + " union all ".join(f"select doc_id, unnest({_EXPAND.format(_PAGE_CITES.format(f))}) as p from cards" for f in ("q2_evidence", "q3_evidence", "q6_evidence")) + ") group by doc_id",
+    "pages_cited": "select doc_id, count(distinct p) as n_pages from (" + " union all ".join(f"select doc_id, unnest({_EXPAND.format(_PAGE_CITES.format(f))}) as p from cards" for f in _EVIDENCE) + ") group by doc_id",
     "eval_grid": "select item_id, mode, scope, account from eval_items cross join (values ('A'), ('B'), ('C')) v(mode) left join erp_record using (account_number)",
     "key_scoring": """with k as (select *, first_value(doc_id) over w as kd, first_value(language) over w as kl, first_value(file_type) over w as kt from inventory where sha256 is not null window w as (partition by sha256 order by doc_id))
 select file_type, count(*) as n, count(*) filter (language is not distinct from kl and file_type is not distinct from kt) as agree from k where doc_id <> kd group by file_type""",

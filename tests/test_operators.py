@@ -203,3 +203,15 @@ def test_parents_by_words(spark, tmp_path):
     long = "one two three four five six seven eight"
     spark.createDataFrame([(1, "1", "f", long, None), (2, "2", "f", "x", f"see {long} below")], "card_no long, doc_id string, pile_folder string, q1_title string, q6_attaches_to string").write.parquet(f"{tmp_path}/long/cards.parquet")
     assert rows(q["parents_by_reference"](spark, f"{tmp_path}/long")) == [(2, "1")]
+
+
+def cards_with(spark, path, *cards):
+    """Cards with the given fields; all others are null."""
+    fields = ["doc_id", "pile_folder", *[f"q{n}_evidence" for n in (2, 3, 4, 6, 7)], "q1_title", "q2_our_entity", "q3_signed", "q4_start_date", "q4_end", "q6_attaches_to", "q6_replaces", "q8_countries"]
+    data = [(n, *[c.get(f) for f in fields]) for n, c in enumerate(cards, 1)]
+    spark.createDataFrame(data, ", ".join(["card_no long", *[f"{f} string" for f in fields]])).write.parquet(f"{path}/cards.parquet")
+
+
+def test_pages_cited(spark, tmp_path):
+    cards_with(spark, tmp_path, {"doc_id": "1", "q2_evidence": "p.1", "q4_evidence": "pp.3-5", "q7_evidence": "p.1 p.9"}, {"doc_id": "2", "q7_evidence": "page 2"}, {"doc_id": "3"})
+    assert rows(entry.queries()["pages_cited"](spark, str(tmp_path))) == [("1", 5), ("2", 1)]
