@@ -220,17 +220,40 @@ def folder_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def long_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Q03, R12's word limit: quotes of more than 15 words."""
+    """R12's word limit: quotes of more than 15 words in the evidence of question 6; those of all evidence in ``overlong_quotes``."""
     c = table(spark, d, "cards").select("card_no", F.explode(T.evidence_quotes(F.col("q6_evidence"))).alias("q"))
     return c.select("card_no", T.word_count(F.col("q")).alias("n_words")).where("n_words > 15")
 
 
 def quoted_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a card's quotes stand in its own document's text."""
+    """whether a card's quotes for question 6 stand in its own document's text; those of all evidence in ``passages_quoted``."""
     c = table(spark, d, "cards").select("card_no", F.col("doc_id").cast("long").alias("doc_id"), F.explode(T.evidence_quotes(F.col("q6_evidence"))).alias("q"))
     return c.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("card_no", T.quoted_in(F.col("q"), F.col("text")).alias("verbatim"))
 
 
+def quotes(spark: SparkSession, d: str) -> DataFrame:
+    """(card_no, doc_id, field, quote_no, quote): the quotes of every evidence column."""
+    c = table(spark, d, "cards")
+    cells = c.select("card_no", "doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in evidence_fields(c)])).alias("c"))
+    return cells.select("card_no", "doc_id", F.col("c.field").alias("field"), F.posexplode(T.evidence_quotes(F.col("c.v"))).alias("quote_no", "quote"))
+
+
+def quoted_words(spark: SparkSession, d: str) -> DataFrame:
+    """The quotes of all evidence and their words."""
+    return quotes(spark, d).select("card_no", "field", "quote_no", "quote", T.word_count(F.col("quote")).alias("n_words"))
+
+
+def overlong_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Q03, R12's word limit: quotes of more than 15 words in any evidence."""
+    return quoted_words(spark, d).select("card_no", "field", "n_words").where("n_words > 15")
+
+
+def passages_quoted(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the quotes of all evidence of a card stand in its own document's text. Where ``documents`` has no row there is nothing to check, and no row."""
+    q = quotes(spark, d).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return q.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("card_no", "field", "quote_no", T.quoted_in(F.col("quote"), F.col("text")).alias("verbatim"))
+
+
 def answer_flags(spark: SparkSession, d: str) -> DataFrame:
     """Q11, Q04: which answers of a card are blank or hold a stray marker."""
     fields = ("q1_title", "q1_kind", "q3_signed", "q4_end", "q8_countries")
@@ -273,7 +296,7 @@ QUERIES = {
     for f in (
         inventory_totals, page_kinds, text_units, bounded_packet, language_guess, language_confusion, accounts_register, cost_by_role, cost_extrapolation,
         request_complete_pairs, exact_duplicates, row_conflicts, gap_ranking, form_health, eval_pages, pages_cited, eval_grid, key_scoring, duplicate_names, question_counts,
-        assigned_numbers, answer_lookup, corrections_overlay, corpus_wide, changed_rows, scoped_replay, folder_lists, long_evidence, quoted_passages,
+        assigned_numbers, answer_lookup, corrections_overlay, corpus_wide, changed_rows, scoped_replay, folder_lists, long_evidence, quoted_passages, quoted_words, overlong_quotes, passages_quoted,
         answer_flags, link_targets, section_once, source_freshness, alias_registry, event_props,
     )
 }
@@ -299,6 +322,9 @@ _PAGE_CITES = "regexp_extract_all(lower(coalesce({0}, '')), '\\b(?:pages?|pp?\\.
 _EXPAND = "flatten(list_transform({0}, lambda x: case when regexp_matches(x, '[-–]') and cast(regexp_extract(x, '(\\d+)$', 1) as integer) >= cast(regexp_extract(x, '^(\\d+)', 1) as integer) then range(cast(regexp_extract(x, '^(\\d+)', 1) as integer), cast(regexp_extract(x, '(\\d+)$', 1) as integer) + 1) else [cast(regexp_extract(x, '^(\\d+)', 1) as integer)] end))"
 
 
+_QUOTED = "q as (" + " union all ".join(f"select card_no, doc_id, '{f}' as field, {_QUOTES.replace('q6_evidence', f)} as q from cards" for f in _EVIDENCE) + "), quotes as (select card_no, doc_id, field, cast(unnest(range(0, len(q))) as integer) as quote_no, unnest(q) as quote from q)"
+
+
 def _say(x: str) -> str:
     return f"case when readable = 'no' then 'not readable by the kit' else coalesce(nullif(trim({x}), ''), 'not found') end"
 
@@ -354,6 +380,10 @@ select pile_folder, string_agg(doc_id, ', ' order by k) filter (k <= 10) || case
     "long_evidence": f"select card_no, cast({_WORDS.format('q')} as integer) as n_words from (select card_no, unnest({_QUOTES}) as q from cards) where {_WORDS.format('q')} > 15",
     "quoted_passages": f"""select card_no, coalesce(contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(q, '\\s+', ' ', 'g'))), false) as verbatim
 from (select card_no, cast(doc_id as bigint) as doc_id, unnest({_QUOTES}) as q from cards) join documents using (doc_id)""",
+    "quoted_words": f"with {_QUOTED} select card_no, field, quote_no, quote, cast({_WORDS.format('quote')} as integer) as n_words from quotes",
+    "overlong_quotes": f"with {_QUOTED} select card_no, field, cast({_WORDS.format('quote')} as integer) as n_words from quotes where {_WORDS.format('quote')} > 15",
+    "passages_quoted": f"""with {_QUOTED} select card_no, field, quote_no, coalesce(contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))), false) as verbatim
+from quotes join documents on documents.doc_id = cast(quotes.doc_id as bigint)""",
     "answer_flags": "select card_no, array_to_string(list_filter([" + ", ".join(f"case when {q_norm(f)} in ({_lit(T.BLANKS)[1:-1]}) then '{f}: blank' when regexp_matches({f}, '\\?|p\\.\\d') then '{f}: marker' end" for f in ("q1_title", "q1_kind", "q3_signed", "q4_end", "q8_countries")) + "], lambda x: x is not null), '; ') as flags from cards where flags <> ''",
     "link_targets": f"""with l as (select distinct card_no, doc_id, {_REFS} as target from (select card_no, doc_id, unnest({_DOCS.format('q6_attaches_to')}) as n from cards union all select card_no, doc_id, unnest({_DOCS.format('q6_replaces')}) from cards))
 select card_no, target, case when target = doc_id then 'itself' else 'missing' end as fault from l where target = doc_id or target not in (select doc_id from inventory)""",

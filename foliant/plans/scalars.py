@@ -62,6 +62,7 @@ def first_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_words(spark: SparkSession, d: str) -> DataFrame:
+    """The quotes for question 6; those of all evidence in ``registers.quoted_words``."""
     q = F.posexplode(T.evidence_quotes(F.col("q6_evidence")))
     return table(spark, d, "cards").select("card_no", q.alias("quote_no", "quote")).select("card_no", "quote_no", "quote", T.word_count(F.col("quote")).alias("n_words"))
 

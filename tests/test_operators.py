@@ -215,3 +215,13 @@ def cards_with(spark, path, *cards):
 def test_pages_cited(spark, tmp_path):
     cards_with(spark, tmp_path, {"doc_id": "1", "q2_evidence": "p.1", "q4_evidence": "pp.3-5", "q7_evidence": "p.1 p.9"}, {"doc_id": "2", "q7_evidence": "page 2"}, {"doc_id": "3"})
     assert rows(entry.queries()["pages_cited"](spark, str(tmp_path))) == [("1", 5), ("2", 1)]
+
+
+def test_quotes_of_all_evidence(spark, tmp_path):
+    long = " ".join(["word"] * 16)
+    cards_with(spark, tmp_path, {"doc_id": "00000001", "q2_evidence": f'p.1: "{long}"', "q3_evidence": 'p.2: "not there"', "q4_evidence": "not found", "q7_evidence": 'p.3: "a  b" | p.4: "c"'})
+    spark.createDataFrame([(1, "x a b y")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = entry.queries()
+    assert rows(q["quoted_words"](spark, str(tmp_path))) == [(1, "q2_evidence", 0, long, 16), (1, "q3_evidence", 0, "not there", 2), (1, "q7_evidence", 0, "a  b", 2), (1, "q7_evidence", 1, "c", 1)]
+    assert rows(q["overlong_quotes"](spark, str(tmp_path))) == [(1, "q2_evidence", 16)]
+    assert rows(q["passages_quoted"](spark, str(tmp_path))) == [(1, "q2_evidence", 0, False), (1, "q3_evidence", 0, False), (1, "q7_evidence", 0, True), (1, "q7_evidence", 1, False)]
