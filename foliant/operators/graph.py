@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.operators.hierarchy import CYCLE, parent_links, resolve
+from foliant.session import discard, stage
 
 
 def node_rows(df: DataFrame, node_id: Column, label: str, name: Column, **properties: Column) -> DataFrame:
@@ -55,6 +56,25 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     return resolve(parent_links(edges, "src", "dst"), with_path=False).where(F.col("root") == CYCLE).select(F.col("node").alias("id"))
 
 
+def circle_nodes(edges: DataFrame, levels: int = 4) -> DataFrame:
+    """(type, id): nodes in or leading into a circle of edges of one type, over all edges (src, dst, type) and not one a node.
+
+    Nodes without outgoing edges are stripped, with the edges into them, until none goes; a written table takes off ``levels`` layers.
+    Edges with a null end are none; an edge to oneself is a circle."""
+    left = stage(edges.select("type", "src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    n = left.count()
+    while n:
+        kept = left
+        for _ in range(levels):
+            kept = kept.join(kept.select("type", F.col("src").alias("dst")).distinct(), ["type", "dst"], "left_semi")
+        kept = stage(kept.select("type", "src", "dst"), "edges")
+        discard(left)
+        left, before, n = kept, n, kept.count()
+        if n == before:
+            break
+    return left.select("type", F.col("src").alias("id")).distinct()
+
+
 def tree_roots(members: DataFrame, tree: str, node: str, parent: str) -> DataFrame:
     """(tree, node): members whose parent is not in their tree; where all have one, the least member."""
     m = members.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent")).where("tree is not null and node is not null")

@@ -70,11 +70,19 @@ def structural_parents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cycle_members(spark: SparkSession, d: str) -> DataFrame:
-    """G05, R05's circles"""
+    """R05's circles: along one parent a document, as in ``p6_found``; those over all links are in ``relation_circles``."""
     links = card_parents(table(spark, d, "cards")).select(F.col("node").alias("src"), F.col("parent").alias("dst"))
     return G.cyclic_nodes(links).select(F.col("id").alias("doc_id"))
 
 
+def relation_circles(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in or leading into a circle of forms_part_of or of supersedes, over all their links."""
+    c = table(spark, d, "cards")
+    links = lambda f, kind: c.select(F.col("doc_id").alias("src"), F.explode(doc_numbers(F.col(f))).alias("dst"), F.lit(kind).alias("type"))
+    found = G.circle_nodes(links("q6_attaches_to", "forms_part_of").unionByName(links("q6_replaces", "supersedes")))
+    return found.select(F.col("type").alias("relation"), F.col("id").alias("doc_id"))
+
+
 def tree_roots(spark: SparkSession, d: str) -> DataFrame:
     """G08, G10"""
     c = table(spark, d, "cards")
@@ -120,7 +128,7 @@ def mermaid_lines(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (graph_nodes, graph_edges, edge_gaps, dangling_placeholders, structural_parents, cycle_members, tree_roots, settled_lifecycle, version_groups, scope_members, mermaid_lines)
+    for f in (graph_nodes, graph_edges, edge_gaps, dangling_placeholders, structural_parents, cycle_members, relation_circles, tree_roots, settled_lifecycle, version_groups, scope_members, mermaid_lines)
 }
 
 _PAD = "case when length(n) < 8 then lpad(n, 8, '0') else n end"
@@ -181,3 +189,6 @@ from cards where pile_folder is not null and {_DOC.format('q6_attaches_to')} is
 from foliant.plans.pile import SQL as _PILE  # noqa: E402
 
 SQL["cycle_members"] = f"select doc_id from ({_PILE['p6_found']}) where root_doc_id = 'cycle'"
+SQL["relation_circles"] = f"""with recursive e as (select 'forms_part_of' as relation, doc_id, to_id from {_links('q6_attaches_to')} where doc_id is not null union select 'supersedes', doc_id, to_id from {_links('q6_replaces')} where doc_id is not null),
+r as (select relation, doc_id, to_id from e union select r.relation, r.doc_id, e.to_id from r join e on e.relation = r.relation and e.doc_id = r.to_id)
+select distinct relation, doc_id from r where (relation, to_id) in (select (relation, doc_id) from r where doc_id = to_id)"""

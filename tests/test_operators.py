@@ -225,3 +225,17 @@ def test_quotes_of_all_evidence(spark, tmp_path):
     assert rows(q["quoted_words"](spark, str(tmp_path))) == [(1, "q2_evidence", 0, long, 16), (1, "q3_evidence", 0, "not there", 2), (1, "q7_evidence", 0, "a  b", 2), (1, "q7_evidence", 1, "c", 1)]
     assert rows(q["overlong_quotes"](spark, str(tmp_path))) == [(1, "q2_evidence", 16)]
     assert rows(q["passages_quoted"](spark, str(tmp_path))) == [(1, "q2_evidence", 0, False), (1, "q3_evidence", 0, False), (1, "q7_evidence", 0, True), (1, "q7_evidence", 1, False)]
+
+
+def test_relation_circles(spark, tmp_path):
+    cards_with(
+        spark, tmp_path,
+        {"doc_id": "00000001", "q6_attaches_to": "X -> doc 7; Y -> doc 2"}, {"doc_id": "00000002", "q6_attaches_to": "X -> doc 8; Y -> doc 1", "q6_replaces": "doc 3"},
+        {"doc_id": "00000003", "q6_attaches_to": "X -> doc 9; Y -> doc 2", "q6_replaces": "doc 4"}, {"doc_id": "00000004", "q6_replaces": "doc 1"}, {"doc_id": "00000005", "q6_replaces": "doc 5"},
+        {"doc_id": "00000001", "q6_attaches_to": "none"}, *[{"doc_id": f"{n:08}", "q6_attaches_to": f"doc {n + 1}"} for n in range(20, 31)],
+    )
+    # circles through the second link, within one relation; 2, 3, 4 and 1 are none, as two relations take part; a chain of eleven is none
+    want = [("forms_part_of", "00000001"), ("forms_part_of", "00000002"), ("forms_part_of", "00000003"), ("supersedes", "00000005")]
+    assert rows(entry.queries()["relation_circles"](spark, str(tmp_path))) == want
+    edge = lambda *e: spark.createDataFrame(e, "src string, dst string, type string")
+    assert rows(G.circle_nodes(edge((None, "a", "t"), ("a", None, "t"), ("a", "b", "t")))) == []
