@@ -90,18 +90,41 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def row_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose cards give different answers; the first card's answer stands."""
+    """Documents whose cards differ on who signed; the first card's answer stands. All answers: ``answer_conflicts``."""
     c = table(spark, d, "cards").select("doc_id", "card_no", F.lower(F.trim("q3_signed")).alias("a"))
     g = c.groupBy("doc_id").agg(F.countDistinct(F.coalesce("a", F.lit(""))).alias("n_answers"), F.min_by("a", "card_no").alias("kept"))
     return g.where("n_answers > 1")
 
 
+def answer_fields(c: DataFrame) -> list[str]:
+    return [x for x in c.columns if x.startswith("q") and not x.endswith("evidence")]
+
+
+def answer_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose cards give different answers, and the fields that differ in the order of the table; case and outer spaces aside, null as blank.
+
+    A field differs if its least and greatest answer do, so all fields are one aggregate that combines map-side."""
+    c = table(spark, d, "cards")
+    fields = answer_fields(c)
+    g = c.select("doc_id", *[F.coalesce(F.lower(F.trim(f)), F.lit("")).alias(f) for f in fields]).groupBy("doc_id").agg(*[(F.min(f) != F.max(f)).alias(f) for f in fields])
+    return g.select("doc_id", F.array_join(F.array_compact(F.array(*[F.when(F.col(f), F.lit(f)) for f in fields])), ", ").alias("fields")).where("fields <> ''")
+
+
 GAP_FIELDS = ("q2_their_signing_entities", "q4_start_date", "q4_end", "q6_attaches_to", "q8_countries")
 
 
 def gap_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """What is not found, by field and folder, with distinct documents; the result is ordered by count, then keys."""
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), (F.col(f).isNull() | (T.norm_name(F.col(f)) == "not found")).alias("gap")) for f in GAP_FIELDS])
+    """What is not found, by folder and five of the fields; all fields in ``gaps_of_all_fields``."""
+    return _gaps(spark, d, GAP_FIELDS)
+
+
+def gaps_of_all_fields(spark: SparkSession, d: str) -> DataFrame:
+    """What is not found, by folder and every answer field of the table, with distinct documents; the result is ordered by count, then keys."""
+    return _gaps(spark, d, answer_fields(table(spark, d, "cards")))
+
+
+def _gaps(spark: SparkSession, d: str, fields: list[str] | tuple[str, ...]) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), (F.col(f).isNull() | (T.norm_name(F.col(f)) == "not found")).alias("gap")) for f in fields])
     g = table(spark, d, "cards").select("doc_id", "pile_folder", F.explode(cells).alias("c")).where("c.gap")
     return g.groupBy(F.col("c.field").alias("field"), F.coalesce("pile_folder", F.lit("")).alias("place")).agg(F.countDistinct("doc_id").alias("n_docs")).orderBy(F.desc("n_docs"), "field", "place")
 
@@ -255,8 +278,16 @@ def passages_quoted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Q11, Q04: which answers of a card are blank or hold a stray marker."""
-    fields = ("q1_title", "q1_kind", "q3_signed", "q4_end", "q8_countries")
+    """Q04: which of five answers of a card are blank or hold a stray marker; all answers in ``flags_of_all_answers``."""
+    return _flags(spark, d, ("q1_title", "q1_kind", "q3_signed", "q4_end", "q8_countries"))
+
+
+def flags_of_all_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Q11: which answers of a card, of every answer field of the table, are blank or hold a stray marker."""
+    return _flags(spark, d, answer_fields(table(spark, d, "cards")))
+
+
+def _flags(spark: SparkSession, d: str, fields: list[str] | tuple[str, ...]) -> DataFrame:
     flag = lambda f: F.when(T.is_blank(F.col(f)), F.concat(F.lit(f), F.lit(": blank"))).when(F.col(f).rlike(r"\?|p\.\d"), F.concat(F.lit(f), F.lit(": marker")))
     return table(spark, d, "cards").select("card_no", F.array_join(F.array_compact(F.array(*map(flag, fields))), "; ").alias("flags")).where("flags <> ''")
 
@@ -295,9 +326,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         inventory_totals, page_kinds, text_units, bounded_packet, language_guess, language_confusion, accounts_register, cost_by_role, cost_extrapolation,
-        request_complete_pairs, exact_duplicates, row_conflicts, gap_ranking, form_health, eval_pages, pages_cited, eval_grid, key_scoring, duplicate_names, question_counts,
+        request_complete_pairs, exact_duplicates, row_conflicts, answer_conflicts, gap_ranking, gaps_of_all_fields, form_health, eval_pages, pages_cited, eval_grid, key_scoring, duplicate_names, question_counts,
         assigned_numbers, answer_lookup, corrections_overlay, corpus_wide, changed_rows, scoped_replay, folder_lists, long_evidence, quoted_passages, quoted_words, overlong_quotes, passages_quoted,
-        answer_flags, link_targets, section_once, source_freshness, alias_registry, event_props,
+        answer_flags, flags_of_all_answers, link_targets, section_once, source_freshness, alias_registry, event_props,
     )
 }
 
@@ -353,7 +384,10 @@ select role, basis, cast(floor(e + 0.5) as bigint) as tokens_per_target, case wh
 select stage, count(*) filter (req) as requested, count(*) filter (req and done) as completed, count(*) filter (req and not done) as pending, count(distinct target) as targets from g group by stage""",
     "exact_duplicates": """select doc_id, best as duplicate_of from (select doc_id, first_value(doc_id) over (partition by sha256 order by (coalesce(text_pages, 0) > 0) desc, coalesce(pages, 0) desc, doc_id) as best from inventory where sha256 is not null) where doc_id <> best""",
     "row_conflicts": "select doc_id, count(distinct coalesce(lower(trim(q3_signed)), '')) as n_answers, (list(lower(trim(q3_signed)) order by card_no))[1] as kept from cards group by doc_id having count(distinct coalesce(lower(trim(q3_signed)), '')) > 1",
+    "answer_conflicts": "with c as (select doc_id, " + ", ".join(f"coalesce(lower(trim({f})), '') as {f}" for f in _FORM) + " from cards) select doc_id, array_to_string(list_filter(["
+    + ", ".join(f"case when count(distinct {f}) > 1 then '{f}' end" for f in _FORM) + "], lambda x: x is not null), ', ') as fields from c group by doc_id having " + " or ".join(f"count(distinct {f}) > 1" for f in _FORM),
     "gap_ranking": "select field, coalesce(pile_folder, '') as place, count(distinct doc_id) as n_docs from (" + " union all ".join(f"select doc_id, pile_folder, '{f}' as field from cards where {f} is null or {q_norm(f)} = 'not found'" for f in GAP_FIELDS) + ") group by all",
+    "gaps_of_all_fields": "select field, coalesce(pile_folder, '') as place, count(distinct doc_id) as n_docs from (" + " union all ".join(f"select doc_id, pile_folder, '{f}' as field from cards where {f} is null or {q_norm(f)} = 'not found'" for f in _FORM) + ") group by all",
     "form_health": "select path, count(*) filter (v not in ('', 'not found', 'unsure', 'can''t tell')) as answered, count(*) filter (v in ('', 'not found')) as not_found, count(*) filter (v in ('unsure', 'can''t tell')) as not_sure from (" + " union all ".join(f"select '{f}' as path, {q_norm(f)} as v from cards" for f in _FORM) + ") group by path",
     "eval_pages": "select doc_id, count(distinct p) as n_pages from (" + " union all ".join(f"select doc_id, unnest({_EXPAND.format(_PAGE_CITES.format(f))}) as p from cards" for f in ("q2_evidence", "q3_evidence", "q6_evidence")) + ") group by doc_id",
     "pages_cited": "select doc_id, count(distinct p) as n_pages from (" + " union all ".join(f"select doc_id, unnest({_EXPAND.format(_PAGE_CITES.format(f))}) as p from cards" for f in _EVIDENCE) + ") group by doc_id",
@@ -385,6 +419,7 @@ from (select card_no, cast(doc_id as bigint) as doc_id, unnest({_QUOTES}) as q f
     "passages_quoted": f"""with {_QUOTED} select card_no, field, quote_no, coalesce(contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))), false) as verbatim
 from quotes join documents on documents.doc_id = cast(quotes.doc_id as bigint)""",
     "answer_flags": "select card_no, array_to_string(list_filter([" + ", ".join(f"case when {q_norm(f)} in ({_lit(T.BLANKS)[1:-1]}) then '{f}: blank' when regexp_matches({f}, '\\?|p\\.\\d') then '{f}: marker' end" for f in ("q1_title", "q1_kind", "q3_signed", "q4_end", "q8_countries")) + "], lambda x: x is not null), '; ') as flags from cards where flags <> ''",
+    "flags_of_all_answers": "select card_no, array_to_string(list_filter([" + ", ".join(f"case when {q_norm(f)} in ({_lit(T.BLANKS)[1:-1]}) then '{f}: blank' when regexp_matches({f}, '\\?|p\\.\\d') then '{f}: marker' end" for f in _FORM) + "], lambda x: x is not null), '; ') as flags from cards where flags <> ''",
     "link_targets": f"""with l as (select distinct card_no, doc_id, {_REFS} as target from (select card_no, doc_id, unnest({_DOCS.format('q6_attaches_to')}) as n from cards union all select card_no, doc_id, unnest({_DOCS.format('q6_replaces')}) from cards))
 select card_no, target, case when target = doc_id then 'itself' else 'missing' end as fault from l where target = doc_id or target not in (select doc_id from inventory)""",
     "section_once": "select i.doc_id, coalesce(n, 0) as n_cards from inventory i left join (select doc_id, count(*) as n from cards group by doc_id) c on c.doc_id = i.doc_id where coalesce(n, 0) <> 1",

@@ -239,3 +239,15 @@ def test_relation_circles(spark, tmp_path):
     assert rows(entry.queries()["relation_circles"](spark, str(tmp_path))) == want
     edge = lambda *e: spark.createDataFrame(e, "src string, dst string, type string")
     assert rows(G.circle_nodes(edge((None, "a", "t"), ("a", None, "t"), ("a", "b", "t")))) == []
+
+
+def test_all_answer_fields(spark, tmp_path):
+    full = {f: "x" for f in ("q1_title", "q2_our_entity", "q3_signed", "q4_start_date", "q4_end", "q6_attaches_to", "q6_replaces", "q8_countries")}
+    cards_with(
+        spark, tmp_path, {**full, "doc_id": "1", "pile_folder": "f"}, {**full, "doc_id": "1", "pile_folder": "f", "q1_title": " X", "q4_end": "y", "q2_our_entity": None},
+        {**full, "doc_id": "2", "pile_folder": "f", "q6_replaces": "see p.4", "q2_evidence": None}, {**full, "doc_id": "2", "pile_folder": "f", "q6_replaces": "SEE p.4 ", "q3_signed": "Not  found"},
+    )
+    q, d = entry.queries(), str(tmp_path)
+    assert rows(q["answer_conflicts"](spark, d)) == [("1", "q2_our_entity, q4_end"), ("2", "q3_signed")]
+    assert rows(q["flags_of_all_answers"](spark, d)) == [(2, "q2_our_entity: blank"), (3, "q6_replaces: marker"), (4, "q6_replaces: marker")]
+    assert rows(q["gaps_of_all_fields"](spark, d)) == [("q2_our_entity", "f", 1), ("q3_signed", "f", 1)]
