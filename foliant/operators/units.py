@@ -33,6 +33,16 @@ def bounded_packet(units: DataFrame, doc_id: str, order: str, body: str, budget:
     return left.select(doc_id, order, cut.alias("excerpt"))
 
 
+def first_units(docs: DataFrame, doc_id: str, text: str, page: str, paragraph: str, pages: int, paragraphs: int) -> DataFrame:
+    """(doc_id, kind, unit_no, body): the first ``pages`` pages of a text with page markers, else the first ``paragraphs`` paragraphs of one
+    with paragraph markers; a text without markers is page 1 (P10). The lowest numbers are the first; null texts have no unit."""
+    has = lambda marker: F.col(text).rlike(marker)
+    kinds = text_units(docs.where(has(page)), doc_id, text, page).withColumn("kind", F.lit("page")).unionByName(text_units(docs.where(~has(page) & has(paragraph)), doc_id, text, paragraph).withColumn("kind", F.lit("paragraph")))
+    whole = docs.where(~has(page) & ~has(paragraph)).select(doc_id, F.lit(1).alias("unit_no"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("body"), F.lit("page").alias("kind"))
+    w = Window.partitionBy(doc_id).orderBy("unit_no")
+    return kinds.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= F.when(F.col("kind") == "page", pages).otherwise(paragraphs)).drop("_k").unionByName(whole).select(doc_id, "kind", "unit_no", "body")
+
+
 def guess_language(text: Column, least: int = 5) -> Column:
     """The language with most common words, at least ``least``; the earlier one wins ties; null below that."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")

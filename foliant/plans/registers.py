@@ -16,6 +16,7 @@ from foliant.plans.scalars import _QUOTES, _WORDS, _lit, q_int, q_norm
 from foliant.session import table
 
 PAGE_MARKER = r"=== page (\d+) ==="
+PARAGRAPH_MARKER = r"\[¶ (\d+)\]"
 STATES = ("live", "dead", "unsure")
 
 
@@ -40,11 +41,19 @@ def text_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bounded_packet(spark: SparkSession, d: str) -> DataFrame:
-    """The first 120 words of each paged document."""
+    """The first 120 words of each paged document. The packets of P10 are in ``first_packets``."""
     u = U.text_units(table(spark, d, "documents"), "doc_id", "text", PAGE_MARKER)
     return U.bounded_packet(u, "doc_id", "unit_no", "body", 120).select("doc_id", "unit_no", F.md5("excerpt").alias("excerpt_md5"))
 
 
+def first_packets(spark: SparkSession, d: str) -> DataFrame:
+    """The first 2 pages or 12 paragraphs of each document, 1,200 words at most."""
+    u = U.first_units(table(spark, d, "documents"), "doc_id", "text", PAGE_MARKER, PARAGRAPH_MARKER, 2, 12)
+    # a document has units of one kind, so the kind goes along with the number
+    p = U.bounded_packet(u.withColumn("u", F.struct("unit_no", "kind")), "doc_id", "u", "body", 1200)
+    return p.select("doc_id", F.col("u.kind").alias("kind"), F.col("u.unit_no").alias("unit_no"), F.md5("excerpt").alias("excerpt_md5"))
+
+
 def language_guess(spark: SparkSession, d: str) -> DataFrame:
     """A18"""
     return table(spark, d, "documents").select("doc_id", U.guess_language(F.col("text")).alias("guess"))
@@ -325,7 +334,7 @@ def event_props(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        inventory_totals, page_kinds, text_units, bounded_packet, language_guess, language_confusion, accounts_register, cost_by_role, cost_extrapolation,
+        inventory_totals, page_kinds, text_units, bounded_packet, first_packets, language_guess, language_confusion, accounts_register, cost_by_role, cost_extrapolation,
         request_complete_pairs, exact_duplicates, row_conflicts, answer_conflicts, gap_ranking, gaps_of_all_fields, form_health, eval_pages, pages_cited, eval_grid, key_scoring, duplicate_names, question_counts,
         assigned_numbers, answer_lookup, corrections_overlay, corpus_wide, changed_rows, scoped_replay, folder_lists, long_evidence, quoted_passages, quoted_words, overlong_quotes, passages_quoted,
         answer_flags, flags_of_all_answers, link_targets, section_once, source_freshness, alias_registry, event_props,
@@ -368,6 +377,13 @@ SQL = {
     "bounded_packet": f"""with {_PAGES}, n as (select *, {_WORDS.format('body')} as n from u),
 b as (select *, 120 - coalesce(sum(n) over (partition by doc_id order by unit_no rows between unbounded preceding and 1 preceding), 0) as l from n)
 select doc_id, unit_no, md5(array_to_string(regexp_split_to_array(trim(body), '\\s+')[1:cast(l as integer)], ' ')) as excerpt_md5 from b where l > 0 and n > 0""",
+    "first_packets": f"""with pages as (with {_PAGES} select doc_id, 'page' as kind, unit_no, body from u),
+paras as (with {_PARAS} select doc_id, 'paragraph' as kind, unit_no, body from u where doc_id not in (select doc_id from pages)),
+marked as (select * from (select *, row_number() over (partition by doc_id order by unit_no) as k from (select * from pages union all select * from paras)) where k <= case kind when 'page' then 2 else 12 end),
+a as (select doc_id, kind, unit_no, body from marked union all select doc_id, 'page', 1, regexp_replace(text, '^\\s+|\\s+$', '', 'g') from documents where text is not null and doc_id not in (select doc_id from pages union all select doc_id from paras)),
+n as (select *, {_WORDS.format('body')} as n from a),
+b as (select *, 1200 - coalesce(sum(n) over (partition by doc_id order by unit_no rows between unbounded preceding and 1 preceding), 0) as l from n)
+select doc_id, kind, unit_no, md5(array_to_string(regexp_split_to_array(trim(body), '\\s+')[1:cast(l as integer)], ' ')) as excerpt_md5 from b where l > 0 and n > 0""",
     "language_guess": f"with {_GUESS} select doc_id, guess from g",
     "language_confusion": f"with {_GUESS} select coalesce(lang, 'none') as lang, " + ", ".join(f"count(*) filter (coalesce(guess, 'none') = '{x}') as n_{x}" for x in [*U.STOP_WORDS, "none"]) + " from g group by 1",
     "accounts_register": f"""with {_MATCH}, k as (select distinct card_no, account_number from matched where account_number is not null),

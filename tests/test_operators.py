@@ -1,6 +1,7 @@
 """Functions and operators of the intake kit on small fixtures."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,3 +252,17 @@ def test_all_answer_fields(spark, tmp_path):
     assert rows(q["answer_conflicts"](spark, d)) == [("1", "q2_our_entity, q4_end"), ("2", "q3_signed")]
     assert rows(q["flags_of_all_answers"](spark, d)) == [(2, "q2_our_entity: blank"), (3, "q6_replaces: marker"), (4, "q6_replaces: marker")]
     assert rows(q["gaps_of_all_fields"](spark, d)) == [("q2_our_entity", "f", 1), ("q3_signed", "f", 1)]
+
+
+def test_first_packets(spark, tmp_path):
+    page = lambda n, words: f"=== page {n} === " + " ".join([f"w{n}"] * words) + " "
+    docs = [
+        (1, page(1, 300) + page(2, 1000) + page(3, 5)), (2, "".join(f"[¶ {n}] p{n} " for n in range(1, 15))), (3, "no marker " * 700), (4, None), (5, page(1, 1) + page(2, 1) + page(3, 1)), (6, page(1, 1200) + page(2, 1)),
+    ]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = {}
+    for r in entry.queries()["first_packets"](spark, str(tmp_path)).collect():
+        words.setdefault((r["doc_id"], r["kind"]), {})[r["unit_no"]] = r["excerpt_md5"]
+    md5 = lambda w, n: hashlib.md5(" ".join([w] * n).encode()).hexdigest()
+    assert words.pop((2, "paragraph")) == {n: md5(f"p{n}", 1) for n in range(1, 13)}
+    assert words == {(1, "page"): {1: md5("w1", 300), 2: md5("w2", 900)}, (3, "page"): {1: md5("no marker", 600)}, (5, "page"): {1: md5("w1", 1), 2: md5("w2", 1)}, (6, "page"): {1: md5("w1", 1200)}}
