@@ -91,14 +91,22 @@ def dominant_party(spark: SparkSession, d: str) -> DataFrame:
 
 
 def holding_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Unmatched names by group key, with the longest and the first spelling and the first three cards."""
-    un = unique_key_match_named(spark, d).where("account_number is null").withColumn("key", T.group_key(F.col("name"))).where("key <> ''")
-    g = un.groupBy("key").agg(
+    """Unmatched names by group key, with the longest and the first spelling, how many cards they have and the first. Their documents are in ``undecided_names``."""
+    g = _unmatched(spark, d).groupBy("key").agg(
         F.max_by("name", F.struct(F.length("name"), "name")).alias("longest"), F.min_by("name", F.struct("card_no", "entry_no")).alias("first"), F.countDistinct("card_no").alias("n_cards"), F.min("card_no").alias("first_card")
     )
     return g
 
 
+def undecided_names(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that wait under each unmatched name, one row for each group key and document, so no hot name is one long list."""
+    return _unmatched(spark, d).join(table(spark, d, "cards").select("card_no", "doc_id"), "card_no").where("doc_id is not null").select("key", "doc_id").distinct()
+
+
+def _unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return unique_key_match_named(spark, d).where("account_number is null").withColumn("key", T.group_key(F.col("name"))).where("key <> ''")
+
+
 def unique_key_match_named(spark: SparkSession, d: str) -> DataFrame:
     return M.match_by_keys(entries(spark, d), accounts(spark, d), "account_number", _keys())
 
@@ -236,7 +244,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         exact_name_match, unique_key_match, conflicting_map_rows, token_candidates, prefix_streams, same_stem_accounts, number_backfill, priority_dedupe,
-        dominant_party, holding_groups, best_match_first, export_rows, review_rows_match, missing_and_strays, empty_accounts, top_scope,
+        dominant_party, holding_groups, undecided_names, best_match_first, export_rows, review_rows_match, missing_and_strays, empty_accounts, top_scope,
         parents_by_reference, parents_by_date, parents_by_title, parents_by_words, copy_instruments, drafts_to_best, ending_effects,
     )
 }
@@ -286,6 +294,7 @@ select doc_id, k.a as account_number from inventory i join k using (sha256) wher
 select pile_folder, q2_our_entity as our_entity from (select *, row_number() over (partition by pile_folder order by n desc, f) as k from n) where k = 1""",
     "holding_groups": f"""with {_MATCH}, u as (select *, {q_group('name')} as key from matched where account_number is null)
 select key, (list(name order by length(name) desc, name desc))[1] as longest, (list(name order by card_no, entry_no))[1] as first, count(distinct card_no) as n_cards, min(card_no) as first_card from u where key <> '' group by key""",
+    "undecided_names": f"with {_MATCH} select distinct {q_group('name')} as key, doc_id from matched join cards using (card_no) where account_number is null and {q_group('name')} <> '' and doc_id is not null",
     "best_match_first": f"""with {_MATCH}, r as (select card_no, coalesce(account_number, '') as a, row_number() over (partition by card_no order by case when basis = 'same name' then 0 when basis is not null then 1 else 2 end, entry_no) as k from matched)
 select card_no, max(case when k = 1 then a end) as best, coalesce(string_agg(case when k > 1 then a end, ' ' order by k), '') as others from r group by card_no""",
     "export_rows": """with i as (select doc_id, lower(file_name) as f, lower(regexp_extract(original_path, '([^/]*)/[^/]*$', 1)) as t from inventory)

@@ -266,3 +266,12 @@ def test_first_packets(spark, tmp_path):
     md5 = lambda w, n: hashlib.md5(" ".join([w] * n).encode()).hexdigest()
     assert words.pop((2, "paragraph")) == {n: md5(f"p{n}", 1) for n in range(1, 13)}
     assert words == {(1, "page"): {1: md5("w1", 300), 2: md5("w2", 900)}, (3, "page"): {1: md5("no marker", 600)}, (5, "page"): {1: md5("w1", 1), 2: md5("w2", 1)}, (6, "page"): {1: md5("w1", 1200)}}
+
+
+def test_undecided_names(spark, tmp_path):
+    cards = [(1, "d1", "Beta Ltd | Acme Ltd"), (2, "d2", "BETA limited | Gamma"), (3, "d2", "Beta Ltd"), (4, "d3", "none"), (5, None, "Gamma")]
+    spark.createDataFrame(cards, "card_no long, doc_id string, q2_their_signing_entities string").write.parquet(f"{tmp_path}/cards.parquet")
+    spark.createDataFrame([("7", "Acme Ltd")], "account_number string, account string").write.parquet(f"{tmp_path}/erp_record.parquet")
+    got = rows(entry.queries()["undecided_names"](spark, str(tmp_path)))
+    beta = spark.range(1).select(T.group_key(F.lit("Beta Ltd"))).first()[0]
+    assert got == [(beta, "d1"), (beta, "d2"), ("gamma", "d2")]
