@@ -80,7 +80,7 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
     compared only within their block, which is what the metric sets apart furthest: D(x, y) is the edit distance of the keys plus, for
     unequal blocks, more than any key is long, so no pair across blocks can be within the radius. Within a block every key goes home to
     its nearest pivot and is copied to each pivot at most 2 * RADIUS further away, since by the triangle inequality a neighbour within
-    the radius cannot live anywhere else. A cell is joined exactly. Cells hold some KEYS_PER_PIVOT home keys, so a block that holds
+    the radius cannot live anywhere else; the other order of two stems is copied by its own distances. A cell is joined exactly. Cells hold some KEYS_PER_PIVOT home keys, so a block that holds
     a third of all keys is many tasks. Names of one key never meet in a cell: copies were set aside before."""
     # distinct names are small in bytes but dear to read: they are spread over all cores, not packed by size
     cores = names.sparkSession.sparkContext.defaultParallelism
@@ -95,15 +95,14 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
     one = keys.select("block", "key").distinct()
     chosen = one.where(F.pmod(F.xxhash64("block", "key"), F.lit(KEYS_PER_PIVOT)) == 0).unionByName(one.groupBy("block").agg(F.min("key").alias("key")))
     pivots = chosen.groupBy("block").agg(F.sort_array(F.collect_set("key")).alias("pivots"))
-    # both orders of two stems may live apart: the bound is taken from the nearer order
+    # each order of two stems is a point of its own with its own reach, as only between points the triangle inequality holds; a key goes home as written
     stems = F.split("key", " ")
     swapped = F.when(F.col("block").startswith("c:") & (F.size(stems) == 2), F.concat_ws(" ", F.get(stems, F.lit(1)), F.get(stems, F.lit(0)))).otherwise(F.col("key"))
-    measured = one.join(pivots, "block").withColumn("swapped", swapped).select(
-        "block", "key", "pivots", F.transform("pivots", lambda p: F.least(F.levenshtein(F.col("key"), p), F.levenshtein(F.col("swapped"), p))).alias("d")
-    )
-    reach = F.array_min("d")
-    cells = measured.select("block", "key", reach.alias("reach"), F.posexplode(F.arrays_zip("pivots", "d")).alias("i", "p"), (F.array_position("d", reach) - 1).alias("at")).where(
-        F.col("p.d") <= F.col("reach") + 2 * RADIUS
+    away = lambda form: F.transform("pivots", lambda p: F.levenshtein(F.col(form), p))
+    measured = one.join(pivots, "block").withColumn("swapped", swapped).select("block", "key", "pivots", away("key").alias("d"), away("swapped").alias("e"))
+    at = F.array_position("d", F.array_min("d")) - 1
+    cells = measured.select("block", "key", F.array_min("d").alias("reach"), F.array_min("e").alias("swapped_reach"), F.posexplode(F.arrays_zip("pivots", "d", "e")).alias("i", "p"), at.alias("at")).where(
+        (F.col("p.d") <= F.col("reach") + 2 * RADIUS) | (F.col("p.e") <= F.col("swapped_reach") + 2 * RADIUS)
     )
     placed = cells.select("block", "key", F.col("p.pivots").alias("pivot"), (F.col("i") == F.col("at")).alias("home")).join(keys, ["block", "key"])
     # cells are small in bytes but dear in time, so their number of tasks follows the keys and not the size
