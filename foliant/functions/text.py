@@ -162,6 +162,48 @@ def safe_name(s: Column) -> Column:
     return F.when(out.rlike(r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$"), F.concat(F.lit("_"), out)).otherwise(out)
 
 
+#: Fixed value: the most characters a file name may have.
+FILED_NAME_LIMIT = 120
+
+
+def fitted_name(parts: Column, suffix: Column, limit: int = FILED_NAME_LIMIT) -> Column:
+    """the parts joined by spaces, and the suffix, within ``limit`` characters: of the parts after the first the longest, the earlier where they tie,
+    loses a character at a time, but never its last; what is still too long is cut off."""
+    length = lambda a: F.length(F.array_join(a, " ")) + F.length(suffix)
+    bare = lambda x: F.regexp_replace(x, r"[\-. ]+$", "")
+
+    def shorten(a: Column, _: Column) -> Column:
+        sizes = F.transform(F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), F.length)
+        longest = F.array_max(sizes)
+        at = F.array_position(sizes, longest)
+        cut = F.transform(a, lambda x, i: F.when(i == at, F.coalesce(F.nullif(bare(F.left(x, F.length(x) - 1)), F.lit("")), F.left(x, F.lit(1)))).otherwise(x))
+        return F.when((length(a) > limit) & (longest > 1), cut).otherwise(a)
+
+    def fit(said: Column) -> Column:
+        over = length(said) - limit
+        steps = F.when(over > 0, F.sequence(F.lit(1), F.greatest(over, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        name = bare(F.left(F.array_join(F.aggregate(steps, said, shorten), " "), F.greatest(F.lit(1), F.lit(limit) - F.length(suffix))))
+        return F.concat(F.coalesce(F.nullif(name, F.lit("")), F.get(said, F.lit(0)), F.lit("document")), suffix)
+
+    # a one-element array binds the parts, so that their own expressions are evaluated once
+    return F.get(F.transform(F.array(F.filter(parts, lambda x: x != "")), fit), F.lit(0))
+
+
+def filed_name(doc_id: Column, ext: Column, kind: Column, party: Column, date: Column, status: Column) -> Column:
+    """number, kind, party, date and status. A draft of a master agreement says so in its kind and not again in its status."""
+    said = F.struct(
+        F.coalesce(F.nullif(name_slug(doc_id), F.lit("")), F.lit("document")).alias("number"), kind_slug(kind).alias("kind"), name_slug(party).alias("party"),
+        F.coalesce(date, F.lit("")).alias("date"), F.lower(name_slug(status)).alias("state"), F.lower(F.regexp_replace(name_slug(ext), r"^\.+", "")).alias("end"),
+    )
+
+    def name(p: Column) -> Column:
+        master = (p["state"] == "draft") & p["kind"].isin("master-agreement", "draft-master")
+        parts = F.array(p["number"], F.when(master, "draft-master").otherwise(p["kind"]), p["party"], p["date"], F.when(master, "").otherwise(p["state"]))
+        return fitted_name(parts, F.when(p["end"] == "", "").otherwise(F.concat(F.lit("."), p["end"])))
+
+    return F.get(F.transform(F.array(said), name), F.lit(0))
+
+
 def truncated(s: Column, n: int) -> Column:
     """F15"""
     t = F.trim(F.coalesce(s, F.lit("")))
@@ -178,6 +220,14 @@ def portable(path: Column) -> Column:
     return F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
 
 
+def mm_label(s: Column) -> Column:
+    """safe inside a quoted Mermaid label: quotes become apostrophes, line ends spaces, and what would close or break the label its entity."""
+    plain = F.regexp_replace(F.coalesce(s, F.lit("")), r"\s*\n\s*", " ")
+    for mark, safe in (('"', "'"), ("#", "#35;"), ("[", "#91;"), ("]", "#93;"), ("|", "#124;"), ("<", "#60;"), (">", "#62;")):
+        plain = F.replace(plain, F.lit(mark), F.lit(safe))
+    return plain
+
+
 def md_cell(s: Column) -> Column:
     """safe inside a pipe table."""
     return F.replace(F.regexp_replace(F.coalesce(s, F.lit("")), r"\s*\n\s*", " "), F.lit("|"), F.lit("\\|"))
@@ -201,21 +251,42 @@ def quoted_in(quote: Column, text: Column) -> Column:
     return F.coalesce(F.contains(squeeze(text), squeeze(quote)) & (squeeze(quote) != ""), F.lit(False))
 
 
-def cited_pages(ref: Column) -> Column:
-    """pages of p.3, pp.4-7 or page 9, in order; ranges expand, backward ones and those over 500 pages count as their first page."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(ref, F.lit(""))), F.lit(r"\b(?:pages?|pp?\.)\s*(\d{1,5}(?:\s*[-–]\s*\d{1,5})?)"), F.lit(1))
+#: How pages, paragraphs and clauses are cited.
+PAGE_REF = r"\b(?:pages?|pp?\.?)\s*(\d+)(?:\s*[-–]\s*(\d+))?"
+PARAGRAPH_REF = r"(?:¶|\bparagraphs?\b|\bparas?\.)\s*(\d+)(?:\s*[-–]\s*(\d+))?"
+CLAUSE_REF = r"(?:\b(?:cl(?:ause)?\.?|section|sec\.)|§)\s*(\d+(?:\.\d+)*[A-Za-z]?)"
+#: Fixed value: the longest range of pages or paragraphs that is believed.
+LONGEST_RANGE = 10_000
+
+
+def _cited_numbers(found: Column) -> Column:
+    """Numbers of the citations, ranges expanded, in order; null if a range begins below 1, runs backward or is too long."""
 
     def expand(x: Column) -> Column:
-        a = F.regexp_extract(x, r"^(\d+)", 1).cast("int")
-        b = F.coalesce(F.nullif(F.regexp_extract(x, r"[-–]\s*(\d+)$", 1), F.lit("")).cast("int"), a)
-        return F.when((b >= a) & (b - a <= 500), F.sequence(a, F.greatest(a, b))).otherwise(F.array(a))
+        numbers = F.regexp_extract_all(x, F.lit(r"(\d+)"), F.lit(1))
+        a = F.get(numbers, F.lit(0)).try_cast("int")
+        b = F.when(F.size(numbers) > 1, F.get(numbers, F.lit(1)).try_cast("int")).otherwise(a)
+        return F.when((a >= 1) & (b >= a) & (b - a <= LONGEST_RANGE), F.sequence(a, F.greatest(a, b)))
 
     return F.array_distinct(F.flatten(F.transform(found, expand)))
 
 
+def cited_pages(ref: Column) -> Column:
+    """pages of p.3, pp 4-7, page 9 or a bare number, in order; null if a range is none. P6 is a clause label where a page is named otherwise."""
+    r = F.trim(F.coalesce(ref, F.lit("")))
+    found = F.regexp_extract_all(r, F.lit(f"(?i)({PAGE_REF})"), F.lit(1))
+    named = F.filter(found, lambda x: ~x.rlike(r"^P\d"))
+    return F.when(r.rlike(r"^\d+$"), _cited_numbers(F.array(r))).otherwise(_cited_numbers(F.when(F.size(named) > 0, named).otherwise(found)))
+
+
+def cited_paragraphs(ref: Column) -> Column:
+    """paragraphs of ¶ 3, paragraph 4 or paras. 4-6, in order; null if a range is none."""
+    return _cited_numbers(F.regexp_extract_all(F.coalesce(ref, F.lit("")), F.lit(f"(?i)({PARAGRAPH_REF})"), F.lit(1)))
+
+
 def cited_clauses(ref: Column) -> Column:
-    """clause numbers of cl.4 or clause 4.2."""
-    return F.regexp_extract_all(F.lower(F.coalesce(ref, F.lit(""))), F.lit(r"\b(?:clause|cl\.)\s*(\d+(?:\.\d+)*)"), F.lit(1))
+    """clause numbers of cl 4, clause 4.2, section 8.1A or § 7."""
+    return F.regexp_extract_all(F.coalesce(ref, F.lit("")), F.lit(f"(?i){CLAUSE_REF}"), F.lit(1))
 
 
 def evidence_quotes(s: Column) -> Column:

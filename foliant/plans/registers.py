@@ -12,7 +12,7 @@ from foliant.operators import ledger as L
 from foliant.operators import matching as M
 from foliant.operators import units as U
 from foliant.plans.matching import _EMPTY, _MATCH, accounts, unique_key_match
-from foliant.plans.scalars import _QUOTES, _WORDS, _lit, q_int, q_norm
+from foliant.plans.scalars import _QUOTES, _WORDS, _lit, q_cited, q_int, q_norm
 from foliant.session import table
 
 PAGE_MARKER = r"=== page (\d+) ==="
@@ -40,12 +40,6 @@ def text_units(spark: SparkSession, d: str) -> DataFrame:
     return u.select("doc_id", "unit_no", F.length("body").alias("n_chars"), F.md5("body").alias("body_md5"))
 
 
-def bounded_packet(spark: SparkSession, d: str) -> DataFrame:
-    """The first 120 words of each paged document. The packets of P10 are in ``first_packets``."""
-    u = U.text_units(table(spark, d, "documents"), "doc_id", "text", PAGE_MARKER)
-    return U.bounded_packet(u, "doc_id", "unit_no", "body", 120).select("doc_id", "unit_no", F.md5("excerpt").alias("excerpt_md5"))
-
-
 def first_packets(spark: SparkSession, d: str) -> DataFrame:
     """The first 2 pages or 12 paragraphs of each document, 1,200 words at most."""
     u = U.first_units(table(spark, d, "documents"), "doc_id", "text", PAGE_MARKER, PARAGRAPH_MARKER, 2, 12)
@@ -67,11 +61,15 @@ def language_confusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def accounts_register(spark: SparkSession, d: str) -> DataFrame:
-    """Every account with its documents by status, zero-filled, and its open questions."""
+    """Every account with its documents by status, zero-filled, and how many have open questions.
+
+    A document counts once an account, under the status its last card there gives; what is none of the states counts as ``n_other``, so the statuses sum to ``n_docs``."""
     m = unique_key_match(spark, d).where("account_number is not null").select("card_no", "account_number").distinct()
-    c = m.join(table(spark, d, "cards").select("card_no", "doc_id", F.lower(F.trim("q4_status")).alias("s"), T.is_empty_answer(F.col("q10_oddities")).alias("e")), "card_no")
-    g = c.groupBy("account_number").agg(F.countDistinct("doc_id").alias("n_docs"), *[F.count_if(F.col("s") == x).alias(f"n_{x}") for x in STATES], F.count_if(~F.col("e")).alias("n_open"))
-    cols = ["n_docs", *[f"n_{x}" for x in STATES], "n_open"]
+    c = m.join(table(spark, d, "cards").select("card_no", "doc_id", F.lower(F.trim("q4_status")).alias("s"), T.is_empty_answer(F.col("q10_oddities")).alias("e")).where("doc_id is not null"), "card_no")
+    one = c.groupBy("account_number", "doc_id").agg(F.max_by(F.struct("s"), "card_no")["s"].alias("s"), F.max(~F.col("e")).alias("open"))
+    n = lambda x: F.count_if(F.coalesce(x, F.lit(False)))
+    g = one.groupBy("account_number").agg(F.count("*").alias("n_docs"), *[n(F.col("s") == x).alias(f"n_{x}") for x in STATES], n(F.col("s").isNull() | ~F.col("s").isin(*STATES)).alias("n_other"), n(F.col("open")).alias("n_open"))
+    cols = ["n_docs", *[f"n_{x}" for x in STATES], "n_other", "n_open"]
     return accounts(spark, d).select("account_number", "country").join(g, "account_number", "left").select("account_number", "country", *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in cols])
 
 
@@ -98,13 +96,6 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return i.join(best, "sha256").where("doc_id <> best").select("doc_id", F.col("best").alias("duplicate_of"))
 
 
-def row_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose cards differ on who signed; the first card's answer stands. All answers: ``answer_conflicts``."""
-    c = table(spark, d, "cards").select("doc_id", "card_no", F.lower(F.trim("q3_signed")).alias("a"))
-    g = c.groupBy("doc_id").agg(F.countDistinct(F.coalesce("a", F.lit(""))).alias("n_answers"), F.min_by("a", "card_no").alias("kept"))
-    return g.where("n_answers > 1")
-
-
 def answer_fields(c: DataFrame) -> list[str]:
     return [x for x in c.columns if x.startswith("q") and not x.endswith("evidence")]
 
@@ -119,22 +110,11 @@ def answer_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return g.select("doc_id", F.array_join(F.array_compact(F.array(*[F.when(F.col(f), F.lit(f)) for f in fields])), ", ").alias("fields")).where("fields <> ''")
 
 
-GAP_FIELDS = ("q2_their_signing_entities", "q4_start_date", "q4_end", "q6_attaches_to", "q8_countries")
-
-
 def gap_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """What is not found, by folder and five of the fields; all fields in ``gaps_of_all_fields``."""
-    return _gaps(spark, d, GAP_FIELDS)
-
-
-def gaps_of_all_fields(spark: SparkSession, d: str) -> DataFrame:
-    """What is not found, by folder and every answer field of the table, with distinct documents; the result is ordered by count, then keys."""
-    return _gaps(spark, d, answer_fields(table(spark, d, "cards")))
-
-
-def _gaps(spark: SparkSession, d: str, fields: list[str] | tuple[str, ...]) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), (F.col(f).isNull() | (T.norm_name(F.col(f)) == "not found")).alias("gap")) for f in fields])
-    g = table(spark, d, "cards").select("doc_id", "pile_folder", F.explode(cells).alias("c")).where("c.gap")
+    """What is not found, by folder and every answer field of the table, with distinct documents; the result is ordered by count, then keys."""
+    c = table(spark, d, "cards")
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), (F.col(f).isNull() | (T.norm_name(F.col(f)) == "not found")).alias("gap")) for f in answer_fields(c)])
+    g = c.select("doc_id", "pile_folder", F.explode(cells).alias("c")).where("c.gap")
     return g.groupBy(F.col("c.field").alias("field"), F.coalesce("pile_folder", F.lit("")).alias("place")).agg(F.countDistinct("doc_id").alias("n_docs")).orderBy(F.desc("n_docs"), "field", "place")
 
 
@@ -147,21 +127,14 @@ def form_health(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("path").agg(F.count_if(~missing & ~unsure).alias("answered"), F.count_if(missing).alias("not_found"), F.count_if(unsure).alias("not_sure"))
 
 
-def eval_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct pages cited for each document in its evidence of questions 2, 3 and 6; over all its evidence in ``pages_cited``."""
-    c = table(spark, d, "cards")
-    pages = F.array_union(F.array_union(T.cited_pages(F.col("q2_evidence")), T.cited_pages(F.col("q3_evidence"))), T.cited_pages(F.col("q6_evidence")))
-    return c.select("doc_id", F.explode(pages).alias("p")).groupBy("doc_id").agg(F.countDistinct("p").alias("n_pages"))
-
-
 def evidence_fields(c: DataFrame) -> list[str]:
     return [x for x in c.columns if x.startswith("q") and x.endswith("_evidence")]
 
 
 def pages_cited(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct pages cited for each document over all its evidence, every evidence column of the table."""
+    """Distinct pages cited for each document over all its evidence, every evidence column of the table; a cell with a range that is none cites nothing."""
     c = table(spark, d, "cards")
-    pages = F.flatten(F.array(*[T.cited_pages(F.col(f)) for f in evidence_fields(c)]))
+    pages = F.flatten(F.array(*[F.coalesce(T.cited_pages(F.col(f)), F.array().cast("array<int>")) for f in evidence_fields(c)]))
     return c.select("doc_id", F.explode(pages).alias("p")).groupBy("doc_id").agg(F.countDistinct("p").alias("n_pages"))
 
 
@@ -251,18 +224,6 @@ def folder_lists(spark: SparkSession, d: str) -> DataFrame:
     return head.join(g.groupBy("pile_folder").agg(F.count("*").alias("n")), "pile_folder").select("pile_folder", F.concat("docs", F.when(F.col("n") > 10, F.concat(F.lit(" +"), F.col("n") - 10, F.lit(" more"))).otherwise("")).alias("docs"))
 
 
-def long_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """R12's word limit: quotes of more than 15 words in the evidence of question 6; those of all evidence in ``overlong_quotes``."""
-    c = table(spark, d, "cards").select("card_no", F.explode(T.evidence_quotes(F.col("q6_evidence"))).alias("q"))
-    return c.select("card_no", T.word_count(F.col("q")).alias("n_words")).where("n_words > 15")
-
-
-def quoted_passages(spark: SparkSession, d: str) -> DataFrame:
-    """whether a card's quotes for question 6 stand in its own document's text; those of all evidence in ``passages_quoted``."""
-    c = table(spark, d, "cards").select("card_no", F.col("doc_id").cast("long").alias("doc_id"), F.explode(T.evidence_quotes(F.col("q6_evidence"))).alias("q"))
-    return c.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("card_no", T.quoted_in(F.col("q"), F.col("text")).alias("verbatim"))
-
-
 def quotes(spark: SparkSession, d: str) -> DataFrame:
     """(card_no, doc_id, field, quote_no, quote): the quotes of every evidence column."""
     c = table(spark, d, "cards")
@@ -280,25 +241,17 @@ def overlong_quotes(spark: SparkSession, d: str) -> DataFrame:
     return quoted_words(spark, d).select("card_no", "field", "n_words").where("n_words > 15")
 
 
-def passages_quoted(spark: SparkSession, d: str) -> DataFrame:
+def quoted_passages(spark: SparkSession, d: str) -> DataFrame:
     """Whether the quotes of all evidence of a card stand in its own document's text. Where ``documents`` has no row there is nothing to check, and no row."""
     q = quotes(spark, d).withColumn("doc_id", F.col("doc_id").cast("long"))
     return q.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("card_no", "field", "quote_no", T.quoted_in(F.col("quote"), F.col("text")).alias("verbatim"))
 
 
 def answer_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Q04: which of five answers of a card are blank or hold a stray marker; all answers in ``flags_of_all_answers``."""
-    return _flags(spark, d, ("q1_title", "q1_kind", "q3_signed", "q4_end", "q8_countries"))
-
-
-def flags_of_all_answers(spark: SparkSession, d: str) -> DataFrame:
     """Q11: which answers of a card, of every answer field of the table, are blank or hold a stray marker."""
-    return _flags(spark, d, answer_fields(table(spark, d, "cards")))
-
-
-def _flags(spark: SparkSession, d: str, fields: list[str] | tuple[str, ...]) -> DataFrame:
+    c = table(spark, d, "cards")
     flag = lambda f: F.when(T.is_blank(F.col(f)), F.concat(F.lit(f), F.lit(": blank"))).when(F.col(f).rlike(r"\?|p\.\d"), F.concat(F.lit(f), F.lit(": marker")))
-    return table(spark, d, "cards").select("card_no", F.array_join(F.array_compact(F.array(*map(flag, fields))), "; ").alias("flags")).where("flags <> ''")
+    return c.select("card_no", F.array_join(F.array_compact(F.array(*map(flag, answer_fields(c)))), "; ").alias("flags")).where("flags <> ''")
 
 
 def link_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -334,10 +287,10 @@ def event_props(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        inventory_totals, page_kinds, text_units, bounded_packet, first_packets, language_guess, language_confusion, accounts_register, cost_by_role, cost_extrapolation,
-        request_complete_pairs, exact_duplicates, row_conflicts, answer_conflicts, gap_ranking, gaps_of_all_fields, form_health, eval_pages, pages_cited, eval_grid, key_scoring, duplicate_names, question_counts,
-        assigned_numbers, answer_lookup, corrections_overlay, corpus_wide, changed_rows, scoped_replay, folder_lists, long_evidence, quoted_passages, quoted_words, overlong_quotes, passages_quoted,
-        answer_flags, flags_of_all_answers, link_targets, section_once, source_freshness, alias_registry, event_props,
+        inventory_totals, page_kinds, text_units, first_packets, language_guess, language_confusion, accounts_register, cost_by_role, cost_extrapolation,
+        request_complete_pairs, exact_duplicates, answer_conflicts, gap_ranking, form_health, pages_cited, eval_grid, key_scoring, duplicate_names, question_counts,
+        assigned_numbers, answer_lookup, corrections_overlay, corpus_wide, changed_rows, scoped_replay, folder_lists, quoted_words, overlong_quotes, quoted_passages,
+        answer_flags, link_targets, section_once, source_freshness, alias_registry, event_props,
     )
 }
 
@@ -358,10 +311,6 @@ _REFS = "case when length(n) < 8 then lpad(n, 8, '0') else n end"
 _DOCS = "regexp_extract_all({0}, '(?i)\\bdoc\\b[\\s.:#]*(\\d+)', 1)"
 _FORM = "q1_title q1_kind q2_their_signing_entities q2_their_group_companies q2_our_entity q3_signed q4_start_date q4_start_basis q4_end q4_ended_sign q4_status q5_parts q5_parts_detail q5_precedence q6_attaches_to q6_replaces q6_referred_to_not_in_pile q7_trade_scope q7_what_makes_it_govern q8_entities_covered q8_countries q9_copy_or_draft_of q9_better_copy q10_oddities".split()
 _EVIDENCE = "q2_evidence q3_evidence q4_evidence q6_evidence q7_evidence".split()
-_PAGE_CITES = "regexp_extract_all(lower(coalesce({0}, '')), '\\b(?:pages?|pp?\\.)\\s*(\\d{{1,5}}(?:\\s*[-–]\\s*\\d{{1,5}})?)', 1)"
-_EXPAND = "flatten(list_transform({0}, lambda x: case when regexp_matches(x, '[-–]') and cast(regexp_extract(x, '(\\d+)$', 1) as integer) >= cast(regexp_extract(x, '^(\\d+)', 1) as integer) then range(cast(regexp_extract(x, '^(\\d+)', 1) as integer), cast(regexp_extract(x, '(\\d+)$', 1) as integer) + 1) else [cast(regexp_extract(x, '^(\\d+)', 1) as integer)] end))"
-
-
 _QUOTED = "q as (" + " union all ".join(f"select card_no, doc_id, '{f}' as field, {_QUOTES.replace('q6_evidence', f)} as q from cards" for f in _EVIDENCE) + "), quotes as (select card_no, doc_id, field, cast(unnest(range(0, len(q))) as integer) as quote_no, unnest(q) as quote from q)"
 
 
@@ -374,9 +323,6 @@ SQL = {
   count(*) filter (docx_tracked_changes > 0) as n_tracked from inventory group by file_type""",
     "page_kinds": f"with {_PAGES} select doc_id, count(*) as n_pages, count(*) filter (length(body) < 25) as n_scans from u group by doc_id",
     "text_units": f"with {_PARAS} select doc_id, unit_no, cast(length(body) as integer) as n_chars, md5(body) as body_md5 from u",
-    "bounded_packet": f"""with {_PAGES}, n as (select *, {_WORDS.format('body')} as n from u),
-b as (select *, 120 - coalesce(sum(n) over (partition by doc_id order by unit_no rows between unbounded preceding and 1 preceding), 0) as l from n)
-select doc_id, unit_no, md5(array_to_string(regexp_split_to_array(trim(body), '\\s+')[1:cast(l as integer)], ' ')) as excerpt_md5 from b where l > 0 and n > 0""",
     "first_packets": f"""with pages as (with {_PAGES} select doc_id, 'page' as kind, unit_no, body from u),
 paras as (with {_PARAS} select doc_id, 'paragraph' as kind, unit_no, body from u where doc_id not in (select doc_id from pages)),
 marked as (select * from (select *, row_number() over (partition by doc_id order by unit_no) as k from (select * from pages union all select * from paras)) where k <= case kind when 'page' then 2 else 12 end),
@@ -387,8 +333,12 @@ select doc_id, kind, unit_no, md5(array_to_string(regexp_split_to_array(trim(bod
     "language_guess": f"with {_GUESS} select doc_id, guess from g",
     "language_confusion": f"with {_GUESS} select coalesce(lang, 'none') as lang, " + ", ".join(f"count(*) filter (coalesce(guess, 'none') = '{x}') as n_{x}" for x in [*U.STOP_WORDS, "none"]) + " from g group by 1",
     "accounts_register": f"""with {_MATCH}, k as (select distinct card_no, account_number from matched where account_number is not null),
-g as (select account_number, count(distinct doc_id) as n_docs, {", ".join(f"count(*) filter (lower(trim(q4_status)) = '{x}') as n_{x}" for x in STATES)}, count(*) filter ({q_norm('q10_oddities')} not in ({_EMPTY})) as n_open from k join cards using (card_no) group by 1)
-select account_number, country, coalesce(n_docs, 0) as n_docs, {", ".join(f"coalesce(n_{x}, 0) as n_{x}" for x in STATES)}, coalesce(n_open, 0) as n_open from erp left join g using (account_number)""",
+l as (select account_number, doc_id, lower(trim(q4_status)) as s, row_number() over (partition by account_number, doc_id order by card_no desc) as k,
+  bool_or({q_norm('q10_oddities')} not in ({_EMPTY})) over (partition by account_number, doc_id) as open from k join cards using (card_no) where doc_id is not null),
+p as (pivot (select account_number, case when s in ({_lit(STATES)[1:-1]}) then s else 'other' end as s from l where k = 1) on s in ({_lit(STATES)[1:-1]}, 'other') using count(*) group by account_number),
+g as (select account_number, count(*) as n_docs, count(*) filter (open) as n_open from l where k = 1 group by 1)
+select account_number, country, coalesce(n_docs, 0) as n_docs, {", ".join(f"coalesce(p.{x}, 0) as n_{x}" for x in (*STATES, "other"))}, coalesce(n_open, 0) as n_open
+from erp left join g using (account_number) left join p using (account_number)""",
     "cost_by_role": f"""with {_M}, f as (select stage, role, model, min(ledger_no) as a from m where model is not null group by all),
 fs as (select stage, model, min(ledger_no) as a from m where model is not null group by all)
 select stage, role, {_TOTALS}, 0 as is_total, (select string_agg(model, ', ' order by a) from f where f.stage = m.stage and f.role = m.role) as models from m group by stage, role
@@ -399,14 +349,11 @@ select role, basis, cast(floor(e + 0.5) as bigint) as tokens_per_target, case wh
     "request_complete_pairs": f"""with {_M}, g as (select stage, role, target, bool_or(not coalesce(retry, false)) as req, bool_or(not failed) as done from m where target is not null group by all)
 select stage, count(*) filter (req) as requested, count(*) filter (req and done) as completed, count(*) filter (req and not done) as pending, count(distinct target) as targets from g group by stage""",
     "exact_duplicates": """select doc_id, best as duplicate_of from (select doc_id, first_value(doc_id) over (partition by sha256 order by (coalesce(text_pages, 0) > 0) desc, coalesce(pages, 0) desc, doc_id) as best from inventory where sha256 is not null) where doc_id <> best""",
-    "row_conflicts": "select doc_id, count(distinct coalesce(lower(trim(q3_signed)), '')) as n_answers, (list(lower(trim(q3_signed)) order by card_no))[1] as kept from cards group by doc_id having count(distinct coalesce(lower(trim(q3_signed)), '')) > 1",
     "answer_conflicts": "with c as (select doc_id, " + ", ".join(f"coalesce(lower(trim({f})), '') as {f}" for f in _FORM) + " from cards) select doc_id, array_to_string(list_filter(["
     + ", ".join(f"case when count(distinct {f}) > 1 then '{f}' end" for f in _FORM) + "], lambda x: x is not null), ', ') as fields from c group by doc_id having " + " or ".join(f"count(distinct {f}) > 1" for f in _FORM),
-    "gap_ranking": "select field, coalesce(pile_folder, '') as place, count(distinct doc_id) as n_docs from (" + " union all ".join(f"select doc_id, pile_folder, '{f}' as field from cards where {f} is null or {q_norm(f)} = 'not found'" for f in GAP_FIELDS) + ") group by all",
-    "gaps_of_all_fields": "select field, coalesce(pile_folder, '') as place, count(distinct doc_id) as n_docs from (" + " union all ".join(f"select doc_id, pile_folder, '{f}' as field from cards where {f} is null or {q_norm(f)} = 'not found'" for f in _FORM) + ") group by all",
+    "gap_ranking": "select field, coalesce(pile_folder, '') as place, count(distinct doc_id) as n_docs from (" + " union all ".join(f"select doc_id, pile_folder, '{f}' as field from cards where {f} is null or {q_norm(f)} = 'not found'" for f in _FORM) + ") group by all",
     "form_health": "select path, count(*) filter (v not in ('', 'not found', 'unsure', 'can''t tell')) as answered, count(*) filter (v in ('', 'not found')) as not_found, count(*) filter (v in ('unsure', 'can''t tell')) as not_sure from (" + " union all ".join(f"select '{f}' as path, {q_norm(f)} as v from cards" for f in _FORM) + ") group by path",
-    "eval_pages": "select doc_id, count(distinct p) as n_pages from (" + " union all ".join(f"select doc_id, unnest({_EXPAND.format(_PAGE_CITES.format(f))}) as p from cards" for f in ("q2_evidence", "q3_evidence", "q6_evidence")) + ") group by doc_id",
-    "pages_cited": "select doc_id, count(distinct p) as n_pages from (" + " union all ".join(f"select doc_id, unnest({_EXPAND.format(_PAGE_CITES.format(f))}) as p from cards" for f in _EVIDENCE) + ") group by doc_id",
+    "pages_cited": "select doc_id, count(distinct p) as n_pages from (" + " union all ".join(f"select doc_id, unnest(coalesce({q_cited('pages', f)}, [])) as p from cards" for f in _EVIDENCE) + ") group by doc_id",
     "eval_grid": "select item_id, mode, scope, account from eval_items cross join (values ('A'), ('B'), ('C')) v(mode) left join erp_record using (account_number)",
     "key_scoring": """with k as (select *, first_value(doc_id) over w as kd, first_value(language) over w as kl, first_value(file_type) over w as kt from inventory where sha256 is not null window w as (partition by sha256 order by doc_id))
 select file_type, count(*) as n, count(*) filter (language is not distinct from kl and file_type is not distinct from kt) as agree from k where doc_id <> kd group by file_type""",
@@ -427,15 +374,11 @@ where a.doc_id is null or b.doc_id is null or (a.original_path, a.sha256, a.read
     "scoped_replay": "select true as same",
     "folder_lists": """with g as (select distinct pile_folder, doc_id from cards where pile_folder is not null), r as (select *, row_number() over (partition by pile_folder order by doc_id) as k from g)
 select pile_folder, string_agg(doc_id, ', ' order by k) filter (k <= 10) || case when count(*) > 10 then ' +' || (count(*) - 10) || ' more' else '' end as docs from r group by pile_folder""",
-    "long_evidence": f"select card_no, cast({_WORDS.format('q')} as integer) as n_words from (select card_no, unnest({_QUOTES}) as q from cards) where {_WORDS.format('q')} > 15",
-    "quoted_passages": f"""select card_no, coalesce(contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(q, '\\s+', ' ', 'g'))), false) as verbatim
-from (select card_no, cast(doc_id as bigint) as doc_id, unnest({_QUOTES}) as q from cards) join documents using (doc_id)""",
     "quoted_words": f"with {_QUOTED} select card_no, field, quote_no, quote, cast({_WORDS.format('quote')} as integer) as n_words from quotes",
     "overlong_quotes": f"with {_QUOTED} select card_no, field, cast({_WORDS.format('quote')} as integer) as n_words from quotes where {_WORDS.format('quote')} > 15",
-    "passages_quoted": f"""with {_QUOTED} select card_no, field, quote_no, coalesce(contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))), false) as verbatim
+    "quoted_passages": f"""with {_QUOTED} select card_no, field, quote_no, coalesce(contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))), false) as verbatim
 from quotes join documents on documents.doc_id = cast(quotes.doc_id as bigint)""",
-    "answer_flags": "select card_no, array_to_string(list_filter([" + ", ".join(f"case when {q_norm(f)} in ({_lit(T.BLANKS)[1:-1]}) then '{f}: blank' when regexp_matches({f}, '\\?|p\\.\\d') then '{f}: marker' end" for f in ("q1_title", "q1_kind", "q3_signed", "q4_end", "q8_countries")) + "], lambda x: x is not null), '; ') as flags from cards where flags <> ''",
-    "flags_of_all_answers": "select card_no, array_to_string(list_filter([" + ", ".join(f"case when {q_norm(f)} in ({_lit(T.BLANKS)[1:-1]}) then '{f}: blank' when regexp_matches({f}, '\\?|p\\.\\d') then '{f}: marker' end" for f in _FORM) + "], lambda x: x is not null), '; ') as flags from cards where flags <> ''",
+    "answer_flags": "select card_no, array_to_string(list_filter([" + ", ".join(f"case when {q_norm(f)} in ({_lit(T.BLANKS)[1:-1]}) then '{f}: blank' when regexp_matches({f}, '\\?|p\\.\\d') then '{f}: marker' end" for f in _FORM) + "], lambda x: x is not null), '; ') as flags from cards where flags <> ''",
     "link_targets": f"""with l as (select distinct card_no, doc_id, {_REFS} as target from (select card_no, doc_id, unnest({_DOCS.format('q6_attaches_to')}) as n from cards union all select card_no, doc_id, unnest({_DOCS.format('q6_replaces')}) from cards))
 select card_no, target, case when target = doc_id then 'itself' else 'missing' end as fault from l where target = doc_id or target not in (select doc_id from inventory)""",
     "section_once": "select i.doc_id, coalesce(n, 0) as n_cards from inventory i left join (select doc_id, count(*) as n from cards group by doc_id) c on c.doc_id = i.doc_id where coalesce(n, 0) <> 1",

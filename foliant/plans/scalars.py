@@ -48,12 +48,13 @@ def safe_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filed_names(spark: SparkSession, d: str) -> DataFrame:
-    """F13 without its length fit, which no name of these tables needs: id, kind, party, date, extension."""
-    c = table(spark, d, "cards").select("card_no", "doc_id", "q1_kind", "q2_our_entity", "q4_start_date")
+    """Number, kind, party, date and status of each card's document, fitted to the cap of a file name."""
+    c = table(spark, d, "cards").select("card_no", "doc_id", "q1_kind", "q2_our_entity", "q4_start_date", "q3_signed", "q9_copy_or_draft_of")
     i = table(spark, d, "inventory").select("doc_id", "ext")
     date = F.coalesce(D.whole_date(F.col("q4_start_date")).cast("string"), F.lit(""))
-    parts = F.filter(F.array(T.natural_id(F.col("doc_id")), T.kind_slug(F.col("q1_kind")), T.name_slug(F.col("q2_our_entity")), date), lambda x: x != "")
-    return c.join(i, "doc_id").select("card_no", F.concat(F.array_join(parts, " "), F.lower(F.col("ext"))).alias("filed_as"))
+    draft = (F.lower(F.trim("q3_signed")) == "nobody") & F.lower("q9_copy_or_draft_of").contains("draft")
+    status = F.when(draft, "draft").otherwise("")
+    return c.join(i, "doc_id").select("card_no", T.filed_name(F.col("doc_id"), F.col("ext"), F.col("q1_kind"), F.col("q2_our_entity"), date, status).alias("filed_as"))
 
 
 def first_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -61,15 +62,13 @@ def first_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.first_line(t).alias("first_line"), T.word_count(t).alias("n_words"))
 
 
-def evidence_words(spark: SparkSession, d: str) -> DataFrame:
-    """The quotes for question 6; those of all evidence in ``registers.quoted_words``."""
-    q = F.posexplode(T.evidence_quotes(F.col("q6_evidence")))
-    return table(spark, d, "cards").select("card_no", q.alias("quote_no", "quote")).select("card_no", "quote_no", "quote", T.word_count(F.col("quote")).alias("n_words"))
-
-
 def cited_units(spark: SparkSession, d: str) -> DataFrame:
+    """pages, paragraphs and clauses that the parts and every evidence column of a card cite; a range that is none is ``invalid``."""
     c = table(spark, d, "cards")
-    return c.select("card_no", F.array_join(T.cited_pages(F.col("q5_parts_detail")), " ").alias("pages"), joined(T.cited_clauses(F.col("q2_evidence"))).alias("clauses"))
+    fields = ["q5_parts_detail", *[x for x in c.columns if x.startswith("q") and x.endswith("_evidence")]]
+    cells = c.select("card_no", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields])).alias("c")).select("card_no", "c.field", "c.v").where("v is not null")
+    said = lambda x: F.coalesce(F.array_join(x, " "), F.lit("invalid"))
+    return cells.select("card_no", "field", said(T.cited_pages(F.col("v"))).alias("pages"), said(T.cited_paragraphs(F.col("v"))).alias("paragraphs"), joined(T.cited_clauses(F.col("v"))).alias("clauses"))
 
 
 def tracked_changes(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +117,7 @@ def row_hashes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalized_names, ref_keys, title_agreement, parsed_entities, kind_slugs, safe_names, filed_names, first_lines, evidence_words, cited_units,
+        normalized_names, ref_keys, title_agreement, parsed_entities, kind_slugs, safe_names, filed_names, first_lines, cited_units,
         tracked_changes, stable_ids, parsed_dates, date_slugs, term_states, clocks, closed_answers, row_hashes,
     )
 }
@@ -201,6 +200,21 @@ def _q_date(x: str, tail: str) -> str:
     return _sql_date(f"lower(trim({x}))", tail)
 
 
+
+
+def q_cited(kind: str, x: str) -> str:
+    """The numbers cited, ranges expanded, first mentions only; null if a range is none."""
+    ref = T.PAGE_REF if kind == "pages" else T.PARAGRAPH_REF
+    found = f"regexp_extract_all(coalesce({x}, ''), '(?i){ref}', 0)"
+    if kind == "pages":
+        named = f"list_filter({found}, lambda m: not regexp_matches(m, '^P[0-9]'))"
+        found = f"case when regexp_matches(trim({x}), '^[0-9]+$') then [trim({x})] when len({named}) > 0 then {named} else {found} end"
+    ends = f"list_transform({found}, lambda m: list_transform(regexp_extract_all(m, '[0-9]+'), lambda n: cast(n as bigint)))"
+    numbers = f"flatten(list_transform({ends}, lambda e: range(e[1], e[-1] + 1)))"
+    ok = f"len(list_filter({ends}, lambda e: e[1] < 1 or e[-1] < e[1] or e[-1] - e[1] > {T.LONGEST_RANGE})) = 0"
+    return f"case when {ok} then list_filter({numbers}, lambda n, i: list_position({numbers}, n) = i) end"
+
+
 _WORDS = "len(list_filter(regexp_split_to_array(trim(coalesce({0}, '')), '\\s+'), lambda w: w <> ''))"
 _ANY = D.ANYWHERE
 _QUOTES = f"""list_filter(list_transform(flatten(list_transform(string_split(coalesce(q6_evidence, ''), ' | '), lambda s:
@@ -234,15 +248,14 @@ where {q_entity('l')} <> '' and lower({q_entity('l')}) <> 'none'""",
     "safe_names": f"""select card_no, {q_slug('q1_title')} as slug, regexp_replace(regexp_replace(trim(q5_parts_detail), '[<>:"/\\\\|?*\\x00-\\x1f]', '_', 'g'), '[. ]+$', '') as safe,
   case when length(trim(coalesce(q10_oddities, ''))) <= 40 then trim(coalesce(q10_oddities, '')) else rtrim(left(trim(q10_oddities), 39)) || '…' end as short,
   replace(regexp_replace(coalesce(q2_their_group_companies, ''), '\\s*\\n\\s*', ' ', 'g'), '|', '\\|') as cell from cards""",
-    "filed_names": f"""select card_no, array_to_string(list_filter([doc_id, {q_kind('q1_kind')}, {q_slug('q2_our_entity')}, coalesce(cast({_q_date('q4_start_date', '\\s*$')} as varchar), '')], lambda x: x <> ''), ' ') || lower(ext) as filed_as
-from cards join inventory using (doc_id)""",
+    "filed_names": f"""with n as (select card_no, doc_id, ext, {q_kind('q1_kind')} as k, {q_slug('q2_our_entity')} as party, coalesce(cast({_q_date('q4_start_date', '\\s*$')} as varchar), '') as day,
+  coalesce(lower(trim(q3_signed)) = 'nobody' and contains(lower(q9_copy_or_draft_of), 'draft'), false) as draft from cards join inventory using (doc_id))
+select card_no, array_to_string(list_filter([doc_id, case when draft and k in ('master-agreement', 'draft-master') then 'draft-master' else k end, party, day,
+  case when draft and k not in ('master-agreement', 'draft-master') then 'draft' else '' end], lambda x: x <> ''), ' ') || '.' || ltrim(lower(ext), '.') as filed_as from n""",
     "first_lines": f"select doc_id, left(trim(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')[1]), 80) as first_line, cast({_WORDS.format('text')} as integer) as n_words from documents",
-    "evidence_words": f"select card_no, quote_no, quote, cast({_WORDS.format('quote')} as integer) as n_words from (select card_no, cast(unnest(range(0, len(q))) as integer) as quote_no, unnest(q) as quote from (select card_no, {_QUOTES} as q from cards))",
-    "cited_units": """with r as (select card_no, q2_evidence, regexp_extract_all(lower(coalesce(q5_parts_detail, '')), '\\b(?:pages?|pp?\\.)\\s*(\\d{1,5}(?:\\s*[-–]\\s*\\d{1,5})?)', 1) as f from cards),
-e as (select *, flatten(list_transform(f, lambda x: case when regexp_matches(x, '[-–]') and cast(regexp_extract(x, '(\\d+)$', 1) as integer) >= cast(regexp_extract(x, '^(\\d+)', 1) as integer)
-    then range(cast(regexp_extract(x, '^(\\d+)', 1) as integer), cast(regexp_extract(x, '(\\d+)$', 1) as integer) + 1) else [cast(regexp_extract(x, '^(\\d+)', 1) as integer)] end)) as p from r)
-select card_no, array_to_string(list_filter(p, lambda x, i: list_position(p, x) = i), ' ') as pages,
-  array_to_string(regexp_extract_all(lower(coalesce(q2_evidence, '')), '\\b(?:clause|cl\\.)\\s*(\\d+(?:\\.\\d+)*)', 1), ' ') as clauses from e""",
+    "cited_units": "select card_no, field, coalesce(array_to_string(p, ' '), 'invalid') as pages, coalesce(array_to_string(g, ' '), 'invalid') as paragraphs, array_to_string(c, ' ') as clauses from ("
+    + " union all ".join(f"select card_no, '{f}' as field, {q_cited('pages', f)} as p, {q_cited('paragraphs', f)} as g, regexp_extract_all({f}, '(?i){T.CLAUSE_REF}', 1) as c from cards where {f} is not null"
+                         for f in "q5_parts_detail q2_evidence q3_evidence q4_evidence q6_evidence q7_evidence".split()) + ")",
     "tracked_changes": "select doc_id, md5(regexp_replace(replace(replace(text, '+}{+', ''), '-}{-', ''), '\\{[+\\-]|[+\\-]\\}', '', 'g')) as plain_md5 from documents where contains(text, '{+') or contains(text, '{-')",
     "stable_ids": f"""select alias_id, 'node-' || left(sha256('["' || replace(replace({q_norm('node_type')}, '\\', '\\\\'), '"', '\\"') || '", "' || replace(replace({q_norm('alias')}, '\\', '\\\\'), '"', '\\"') || '"]'), 20) as stable_id from aliases""",
     "parsed_dates": f"""with f as (select card_no, list_filter(list_transform(regexp_extract_all(lower(coalesce(q4_evidence, '')), '({_ANY})', 1), lambda x: {_q_date('x', '(?:$|\\D)')}), lambda x: x is not null) as d from cards)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,17 +37,24 @@ def write_lists(df: DataFrame, path: str, by: list[str], columns: list[str]) ->
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
 
-def drop_stale(spark: SparkSession, path: str, by: str, current: list[str]) -> list[str]:
-    """Removes lists of values that no run produces any more; gives their names."""
+#: The folder that stands for null and the empty string.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def drop_stale(spark: SparkSession, path: str, by: str, current: list[str | None]) -> list[str]:
+    """Removes lists of values that no run produces any more; gives their names.
+
+    Folder names are read back as they were written, with quotes, colons and slashes escaped. Null and '' in ``current`` both mean the list without a value."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(conf)
-    gone = []
+    keep, gone = {v or NO_VALUE for v in current}, []
     for s in fs.listStatus(root) if fs.exists(root) else ():
-        name = s.getPath().getName()
-        if s.isDirectory() and name.startswith(f"{by}=") and name[len(by) + 1 :] not in current:
+        column, _, value = s.getPath().getName().partition("=")
+        if s.isDirectory() and unescape(column) == by and (name := unescape(value)) not in keep:
             fs.delete(s.getPath(), True)
-            gone.append(name[len(by) + 1 :])
+            gone.append(name)
     return sorted(gone)
 
 
@@ -57,8 +66,19 @@ def write_version(df: DataFrame, path: str, version: str) -> str:
 
 
 def write_snapshot(df: DataFrame, path: str, source_hash: str, pointer: str, as_at: str) -> None:
-    """Content-addressed: rows under the hash of their source, written once, and a pointer row to the active one."""
-    df.write.mode("ignore").parquet(f"{path.rstrip('/')}/source_hash={source_hash}")
+    """Content-addressed: rows under the hash of their source, written once, and a pointer row to the active one.
+
+    Rows are written aside and renamed when complete; a folder without the mark of a finished write is one that failed, and is written anew."""
+    spark = df.sparkSession
+    target = f"{path.rstrip('/')}/source_hash={source_hash}"
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path_of(f"{target}/_SUCCESS")):
+        aside = f"{path.rstrip('/')}/_writing-{source_hash}-{uuid.uuid4().hex}"
+        df.write.parquet(aside)
+        fs.delete(path_of(target), True)
+        if not fs.rename(path_of(aside), path_of(target)):
+            raise OSError(f"{aside} cannot be renamed to {target}")
     df.sparkSession.createDataFrame([(source_hash, as_at)], "source_hash string, as_at string").coalesce(1).write.mode("overwrite").json(pointer)
 
 

@@ -198,9 +198,16 @@ def strict_records(spark: SparkSession, path: str) -> DataFrame:
     return texts.select("file_name", F.try_parse_json("value").isNotNull().alias("ok"), "value")
 
 
-def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An append-only JSON-lines log (S16); lines that do not parse are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+def read_events(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """An append-only JSON-lines log (S16): the events, and (file_name, line, reason) of the lines that are none.
+
+    ``reason`` is ``json`` where a line is no JSON object and ``schema`` where a value does not fit its column; blank lines are neither."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("line")).where("trim(line) <> ''")
+    read = lines.withColumn("e", F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    good = read.where("e is not null and e._bad is null").select("e.*").drop("_bad")
+    shape = F.try_parse_json("line").isNull() | ~F.trim("line").startswith("{")
+    bad = read.where("e is null or e._bad is not null").select("file_name", "line", F.when(shape, "json").otherwise("schema").alias("reason"))
+    return good, bad
 
 
 def pipe_table(spark: SparkSession, path: str, n_cells: int, types: tuple[str, ...]) -> DataFrame:
@@ -234,12 +241,11 @@ def read_registry(spark: SparkSession, path: str, key: str) -> DataFrame:
     return df
 
 
-def read_state(path: str, default: dict | None = None) -> dict:
-    """A singleton JSON state file, or the default where there is none."""
-    try:
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
-    except FileNotFoundError:
-        if default is None:
-            raise
-        return default
+def read_state(spark: SparkSession, path: str, default: dict | None = None) -> dict:
+    """A singleton JSON state file on any store the session reaches, or the default where there is none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return json.loads(spark.read.text(path, wholetext=True).first()[0])
+    if default is None:
+        raise FileNotFoundError(path)
+    return default

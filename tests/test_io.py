@@ -88,7 +88,15 @@ def test_records(spark, tmp_path):
     (tmp_path / "r.csv").write_text("id,x\n1,a\n1,b\n")
     with pytest.raises(tables.BadTable):
         tables.read_registry(spark, str(tmp_path / "r.csv"), "id")
-    assert tables.read_state(str(tmp_path / "no.json"), {}) == {}
+    assert tables.read_state(spark, str(tmp_path / "no.json"), {}) == {}
+    (tmp_path / "state.json").write_text('{"a": [1]}')
+    assert tables.read_state(spark, str(tmp_path / "state.json")) == {"a": [1]}
+    with pytest.raises(FileNotFoundError):
+        tables.read_state(spark, str(tmp_path / "no.json"))
+    (tmp_path / "log.jsonl").write_text('{"a": 1, "b": "x"}\n\n{"a": "one", "b": "y"}\n{"a": 2\n[1]\n{"b": null, "z": 3}\n')
+    good, bad = tables.read_events(spark, str(tmp_path / "log.jsonl"), "a int, b string")
+    assert rows(good) == [(1, "x"), (None, None)]
+    assert sorted(r[1:] for r in rows(bad)) == [("[1]", "json"), ('{"a": "one", "b": "y"}', "schema"), ('{"a": 2', "json")]
 
 
 def test_sinks(spark, tmp_path):
@@ -100,9 +108,18 @@ def test_sinks(spark, tmp_path):
     sinks.write_lists(df.where("account = 'B'").withColumn("d", F.lit("new")), lists, ["account"], ["d"])
     assert rows(spark.read.option("header", True).csv(lists).select("account", "d")) == [("A", "x|y"), ("B", "new")]
     assert sinks.drop_stale(spark, lists, "account", ["B"]) == ["A"]
+    odd = ["O'Neil Ltd", "Alba: North", "a/b=c", "100% \"x\"", "Plain", ""]
+    sinks.write_lists(spark.createDataFrame([(a, a) for a in odd], "account string, d string"), str(tmp_path / "odd"), ["account"], ["d"])
+    assert sinks.drop_stale(spark, str(tmp_path / "odd"), "account", [*odd[:5], None]) == []
+    assert sinks.drop_stale(spark, str(tmp_path / "odd"), "account", ["Alba: North", "a/b=c"]) == sorted(["O'Neil Ltd", '100% "x"', "Plain", sinks.NO_VALUE])
+    assert rows(spark.read.option("header", True).csv(str(tmp_path / "odd")).select("d")) == [("Alba: North",), ("a/b=c",)]
+    assert sinks.drop_stale(spark, str(tmp_path / "nowhere"), "account", []) == []
+    (tmp_path / "s/source_hash=h1").mkdir(parents=True)  # left by a write that failed
     sinks.write_snapshot(df, str(tmp_path / "s"), "h1", str(tmp_path / "p"), "2024-01-01")
     sinks.write_snapshot(df.limit(0), str(tmp_path / "s"), "h2", str(tmp_path / "p"), "2024-01-02")
     assert sinks.read_active(spark, str(tmp_path / "s"), str(tmp_path / "p")).count() == 0
+    sinks.write_snapshot(df.limit(0), str(tmp_path / "s"), "h1", str(tmp_path / "p"), "2024-01-03")
+    assert sinks.read_active(spark, str(tmp_path / "s"), str(tmp_path / "p")).count() == 2  # written once
     sinks.append_log(df, str(tmp_path / "log"))
     sinks.append_log(df, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 4

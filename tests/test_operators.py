@@ -48,8 +48,12 @@ def test_slugs_and_cells(spark):
 
 
 def test_references_and_quotes(spark):
-    assert one(spark, T.cited_pages, "pp.4-6, p. 9 and page 9", "p.3-1", None) == [[4, 5, 6, 9], [3], []]
-    assert one(spark, T.cited_clauses, "cl.4.2 clause 7") == [["4.2", "7"]]
+    assert one(spark, T.cited_pages, "pp.4-6, p. 9 and page 9", "p.3-1", None) == [[4, 5, 6, 9], None, []]
+    assert one(spark, T.cited_pages, "pp 4-6, p 9", "12", "P6 (p.2)", "P6", "page 0", "pages 1-20000") == [[4, 5, 6, 9], [12], [2], [6], None, None]
+    assert len(one(spark, T.cited_pages, "pages 1-700")[0]) == 700
+    assert one(spark, T.cited_paragraphs, "¶ 3, paragraphs 5–7 and paras. 9", "para 4", "¶ 4-2") == [[3, 5, 6, 7, 9], [], None]
+    assert one(spark, T.cited_clauses, "cl.4.2 clause 7", "section 4.2, §7", "Clause 8.1A cl 3", None) == [["4.2", "7"], ["4.2", "7"], ["8.1A", "3"], []]
+    assert one(spark, T.mm_label, 'a "b" [c]|<d>\n#', None) == ["a 'b' #91;c#93;#124;#60;d#62; #35;", ""]
     assert one(spark, T.evidence_quotes, 'p.3: "a b" | cl.2: “c” and "d"', "p.3: plain words | none", None) == [["a b", "c", "d"], ["plain words"], []]
     assert one(spark, lambda c: T.plain_tracked(T.merge_tracked(c)), "a {+b+}{+c+} {-d-}") == ["a bc d"]
     assert one(spark, lambda c: T.quoted_in(F.lit("a  b"), c), "x a\nb y", "ab", None) == [True, False, False]
@@ -57,6 +61,19 @@ def test_references_and_quotes(spark):
     assert one(spark, lambda c: T.closed_labels(c, ("A", "B", "A, B"), True), "a; b", "A, B") == [["A", "B"], ["A, B", "A", "B"]]
 
 
+def test_filed_names(spark):
+    from pyspark.sql import functions as F
+
+    fit = lambda parts, suffix, n: spark.range(1).select(T.fitted_name(F.array(*map(F.lit, parts)), F.lit(suffix), n)).first()[0]
+    assert fit(["001", "nda", "", "Acme"], ".pdf", 120) == "001 nda Acme.pdf"
+    assert fit(["001", "aaaa", "bbbb"], ".x", 12) == "001 aa bbb.x"  # the longest first, the earlier where they tie
+    assert fit(["001", "a-a-a-a-", "b"], ".x", 10) == "001 a b.x"
+    assert fit(["0123456789", "ab"], ".x", 10) == "01234567.x" and fit(["", ""], "", 10) == "document"
+    long = spark.createDataFrame([("7", ".PDF", "master", "Größe " * 60, "2024-01-02", "draft")], "a string, b string, c string, d string, e string, f string")
+    name = long.select(T.filed_name(*[F.col(x) for x in "abcdef"])).first()[0]
+    assert len(name) == 120 and name.startswith("7 draft-master Gro") and name.endswith(" 2024-01-02.pdf")
+
+
 def test_dates(spark):
     got = one(spark, lambda c: F.transform(D.dates_in(c), lambda x: x.cast("string")), "on 3 May 2020, then 2019-01-02 and 31.2.2020, March 4th, 2021 to 5/6/2022", None)
     assert got == [["2020-05-03", "2019-01-02", "2021-03-04", "2022-06-05"], []]
@@ -225,7 +242,7 @@ def test_quotes_of_all_evidence(spark, tmp_path):
     q = entry.queries()
     assert rows(q["quoted_words"](spark, str(tmp_path))) == [(1, "q2_evidence", 0, long, 16), (1, "q3_evidence", 0, "not there", 2), (1, "q7_evidence", 0, "a  b", 2), (1, "q7_evidence", 1, "c", 1)]
     assert rows(q["overlong_quotes"](spark, str(tmp_path))) == [(1, "q2_evidence", 16)]
-    assert rows(q["passages_quoted"](spark, str(tmp_path))) == [(1, "q2_evidence", 0, False), (1, "q3_evidence", 0, False), (1, "q7_evidence", 0, True), (1, "q7_evidence", 1, False)]
+    assert rows(q["quoted_passages"](spark, str(tmp_path))) == [(1, "q2_evidence", 0, False), (1, "q3_evidence", 0, False), (1, "q7_evidence", 0, True), (1, "q7_evidence", 1, False)]
 
 
 def test_relation_circles(spark, tmp_path):
@@ -250,8 +267,8 @@ def test_all_answer_fields(spark, tmp_path):
     )
     q, d = entry.queries(), str(tmp_path)
     assert rows(q["answer_conflicts"](spark, d)) == [("1", "q2_our_entity, q4_end"), ("2", "q3_signed")]
-    assert rows(q["flags_of_all_answers"](spark, d)) == [(2, "q2_our_entity: blank"), (3, "q6_replaces: marker"), (4, "q6_replaces: marker")]
-    assert rows(q["gaps_of_all_fields"](spark, d)) == [("q2_our_entity", "f", 1), ("q3_signed", "f", 1)]
+    assert rows(q["answer_flags"](spark, d)) == [(2, "q2_our_entity: blank"), (3, "q6_replaces: marker"), (4, "q6_replaces: marker")]
+    assert rows(q["gap_ranking"](spark, d)) == [("q2_our_entity", "f", 1), ("q3_signed", "f", 1)]
 
 
 def test_first_packets(spark, tmp_path):
