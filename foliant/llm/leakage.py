@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.tokens import WORD
-from foliant.session import stage
+from foliant.session import discard, stage
 
 #: Test items handled at once; more are taken in blocks, each against the whole corpus.
 ITEMS_PER_BLOCK = 20_000
+#: A side counted to have at most so many rows of a few numbers each may be sent to every worker.
+BROADCAST_ROWS = 500_000
 
 
 def words_of(text: str) -> list[str]:
@@ -77,11 +80,20 @@ def _anchors(items: list[tuple], vocabulary: dict[str, int], counts: dict[int, i
     return out
 
 
-def _listed(items: DataFrame, item_id: str, passage: str, least: int) -> list[list[tuple]]:
-    """The test items with at least ``least`` words as (id, words), in blocks."""
-    listed = [(r[0], words_of(r[1] or "")) for r in items.select(item_id, passage).toLocalIterator()]
-    listed = [x for x in listed if len(x[1]) >= least]
-    return [listed[at : at + ITEMS_PER_BLOCK] for at in range(0, max(len(listed), 1), ITEMS_PER_BLOCK)]
+def _blocks(items: DataFrame, item_id: str, passage: str, least: int) -> Iterator[list[tuple]]:
+    """The different test items with at least ``least`` words as (id, words), a block at a time: only one block is ever on the driver."""
+    words = F.regexp_count(F.lower("passage"), F.lit(r"[\p{L}\p{N}]+"))
+    asked = items.select(F.col(item_id).alias("item_id"), F.col(passage).alias("passage")).where(words >= least).distinct()
+    n = ceil(asked.count() / ITEMS_PER_BLOCK)
+    for k in range(n):
+        block = asked.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(n)) == k)
+        listed = [(r["item_id"], words_of(r["passage"])) for r in block.collect()]
+        yield sorted((x for x in listed if len(x[1]) >= least), key=repr)
+
+
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """A table of so many rows, known by counting, for a join with a table that grows: sent to the workers if few, else both sides are sorted."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
 
 
 class _Block:
@@ -94,16 +106,27 @@ class _Block:
         rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         self.postings = stage(rows.mapInArrow(_index(self.vocabulary, least), f"term int, doc_id {dict(rows.dtypes)['doc_id']}, positions array<int>"), "postings")
         self.counts = {r["term"]: r["n"] for r in self.postings.groupBy("term").agg(F.sum(F.size("positions")).alias("n")).collect()}
-        # these three are bounded by the block; the planner broadcasts them only below its own limit, and shuffles beyond
-        self.test = spark.createDataFrame([(n, self.vocabulary[w], i) for n, (_, words) in enumerate(items) for i, w in enumerate(words)], "number int, term int, offset int")
-        self.names = spark.createDataFrame([(n, i, len(words)) for n, (i, words) in enumerate(items)], f"number int, item_id {kind}, n int")
+        test = [(n, self.vocabulary[w], i) for n, (_, words) in enumerate(items) for i, w in enumerate(words)]
+        self.test = _bounded(spark.createDataFrame(test, "number int, term int, offset int"), len(test))
+        self.names = _bounded(spark.createDataFrame([(n, i, len(words)) for n, (i, words) in enumerate(items)], f"number int, item_id {kind}, n int"), len(items))
 
     def shifts(self, anchors: set[tuple[int, int, int]]) -> DataFrame:
         """(doc_id, number, shift) at which an anchor (term, item number, offset) stands: its postings, moved by its offset."""
-        a = self.postings.sparkSession.createDataFrame(sorted(anchors), "term int, number int, offset int")
+        a = _bounded(self.postings.sparkSession.createDataFrame(sorted(anchors), "term int, number int, offset int"), len(anchors))
         hits = self.postings.join(a, "term").select("doc_id", "number", F.explode("positions").alias("p"), "offset")
         return hits.select("doc_id", "number", (F.col("p") - F.col("offset")).alias("shift"))
 
+    def lists(self, wanted: DataFrame) -> DataFrame:
+        """The postings of all terms of the passages wanted in a document. Both sides grow with the corpus, so neither is ever broadcast."""
+        return self.postings.hint("merge").join(wanted.join(self.test, "number"), ["doc_id", "term"])
+
+
+def _union(found: list[DataFrame], docs: DataFrame, doc_id: str, items: DataFrame, item_id: str, numbers: dict[str, str]) -> DataFrame:
+    if found:
+        return reduce(DataFrame.unionByName, found)
+    ends = f"doc_id {dict(docs.dtypes)[doc_id]}, item_id {dict(items.dtypes)[item_id]}"
+    return docs.sparkSession.createDataFrame([], ", ".join([ends, *(f"{k} {t}" for k, t in numbers.items())]))
+
 
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, least: int = 12) -> DataFrame:
     """(doc_id, item_id, doc_position, n_words): every place where ``least`` or more consecutive words of a passage stand
@@ -115,15 +138,14 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
 
     The postings of test words are written once to the shared folder. Their counts give each window of ``least`` words its rarest
     term; the anchors' postings, shifted by their offsets, propose alignments; the lists of all other terms of the passage are then
-    intersected under the same shift for the proposed documents. What reaches the driver is the test side and a count for each test
-    term, both bounded by the block; alignments and postings stay distributed."""
-    kind, out = dict(items.dtypes)[item_id], None
-    for listed in _listed(items, item_id, passage, least):
+    intersected under the same shift for the proposed documents. What reaches the driver is a block of the test side and a count for each of its
+    terms; alignments and postings are never broadcast, and the written tables of a block go when its leaks are written."""
+    kind, out = dict(items.dtypes)[item_id], []
+    for listed in _blocks(items, item_id, passage, least):
         block = _Block(docs, doc_id, text, listed, kind, least)
         alignments = stage(block.shifts(_anchors(listed, block.vocabulary, block.counts, least)).distinct(), "alignments")
         hits = (
-            block.postings.join(alignments.join(block.test, "number"), ["doc_id", "term"])
-            .where(F.array_contains("positions", F.col("shift") + F.col("offset")))
+            block.lists(alignments).where(F.array_contains("positions", F.col("shift") + F.col("offset")))
             .groupBy("doc_id", "number", "shift").agg(F.sort_array(F.collect_set("offset")).alias("o"))
         )
         # the longest run of consecutive offsets: the largest set of equal offset minus rank
@@ -133,8 +155,9 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
             hits.where(F.size("o") >= least).select("doc_id", "number", "shift", run.alias("n_words")).where(F.col("n_words") >= least)
             .join(block.names, "number").select("doc_id", "item_id", F.col("shift").alias("doc_position"), "n_words")
         )
-        out = found if out is None else out.unionByName(found)
-    return out
+        out.append(stage(found, "leaks"))
+        discard(block.postings, alignments)
+    return _union(out, docs, doc_id, items, item_id, {"doc_position": "int", "n_words": "int"})
 
 
 def near_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, share: float = 0.8, slop: int = 16) -> DataFrame:
@@ -144,8 +167,8 @@ def near_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     Words put in, left out or changed move the shift of what follows or lose a word each, so a retouched passage is still found. If
     ``share`` of n words match, at least one of the n - ceil(share * n) + 1 rarest does: only their postings propose windows, and
     nothing is lost. Nulls, blanks and repeated rows as in ``find_leaks``."""
-    kind, out = dict(items.dtypes)[item_id], None
-    for listed in _listed(items, item_id, passage, 1):
+    kind, out = dict(items.dtypes)[item_id], []
+    for listed in _blocks(items, item_id, passage, 1):
         block = _Block(docs, doc_id, text, listed, kind, 1)
         anchors = set()
         for number, (_, words) in enumerate(listed):
@@ -156,12 +179,13 @@ def near_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
         windows = stage(block.shifts(anchors).select("doc_id", "number", window.alias("k")).distinct(), "windows")
         inside = F.exists("positions", lambda p: (p - F.col("offset") >= F.col("k") * slop) & (p - F.col("offset") < (F.col("k") + 2) * slop))
         shared = (
-            block.postings.join(windows.join(block.test, "number"), ["doc_id", "term"]).where(inside)
+            block.lists(windows).where(inside)
             .groupBy("doc_id", "number", "k").agg(F.countDistinct("offset").alias("n_shared"))
         )
         found = (
             shared.groupBy("doc_id", "number").agg(F.max("n_shared").alias("n_shared")).join(block.names, "number")
             .where(F.col("n_shared") >= F.ceil(F.col("n") * share - 1e-9)).select("doc_id", "item_id", "n_shared")
         )
-        out = found if out is None else out.unionByName(found)
-    return out
+        out.append(stage(found, "leaks"))
+        discard(block.postings, windows)
+    return _union(out, docs, doc_id, items, item_id, {"n_shared": "bigint"})

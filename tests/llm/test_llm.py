@@ -2,6 +2,7 @@
 
 import random
 import string
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -14,7 +15,7 @@ from foliant.llm.edit import BKTree, deletions, levenshtein, within
 from foliant.llm.leakage import find_leaks, near_leaks, words_of
 from foliant.llm.names import read_name
 from foliant.llm.packing import BestTwoFit, pack
-from foliant.llm.splitting import Boundaries, split_oversized, split_text, tree_pieces
+from foliant.llm.splitting import HEADING, ITEM, LINE, NUMBERED, PAGE, PARAGRAPH, Outline, line_rank, split_oversized, split_text, tree_pieces
 from foliant.llm.tokens import TOKEN, token_count
 from foliant.llm.variants import link_names, variant_pairs
 from tests.helpers import rows
@@ -159,7 +160,7 @@ def test_pack(spark):
     assert pack(df.where("false"), "doc", "n", 2048).count() == 0
 
 
-WORDS = ["alpha", "beta.", "gamma,", "delta", "=== page 1 ===", "[¶ 3]", "1.", "x\n", "\n\n", "ü", "a-b", "“q”", "end.\n\nNew", "- item\n"]
+WORDS = ["alpha", "beta.", "gamma,", "delta", "=== page 1 ===", "[¶ 3]", "1.", "x\n", "\n\n", "ü", "a-b", "“q”", "end.\n\nNew", "- item\n", "\n# top\n", "\n## sub\n", "\n4.2 part", "\n<h2>x</h2>\n", "\n  (a) sub", "\n"]
 
 
 @settings(max_examples=150, deadline=None)
@@ -180,14 +181,40 @@ def test_split_round_trip(words, limit, overlap):
     assert len(got) == 1 or len(tokens) > limit
 
 
+def starting(text, limit, first):
+    starts = [m.start() for m in TOKEN.finditer(text)]
+    return [text[starts[i] :][:8] for i in tree_pieces(len(starts), Outline(text, starts), limit, first)]
+
+
+def test_line_ranks():
+    said = ["=== page 3 ===", "# a", "### a", "<h2>a", "<p>a", "<li>a", "4. a", "4.2 a", "Clause 4.2.1 a", "[¶ 2] a", "[¶ 2] 7. a", "- a", "(iv) a", "2017 was", "233 units", "a"]
+    ranks = [PAGE, HEADING, HEADING + 2, HEADING + 1, PARAGRAPH, ITEM, NUMBERED, NUMBERED + 1, NUMBERED + 2, PARAGRAPH, NUMBERED, ITEM, ITEM, LINE, LINE, LINE]
+    assert [line_rank(x, 0, False) for x in said] == ranks
+    assert line_rank("a", 0, True) == PARAGRAPH and line_rank("- a", 4, False) == ITEM + 2
+
+
 def test_split_prefers_natural_boundaries():
     text = "=== page 1 ===\n" + "one two three. " * 5 + "\n\n" + "four five six. " * 5 + "\n=== page 2 ===\n" + "seven eight. " * 4
-    starts = [m.start() for m in TOKEN.finditer(text)]
-    levels = Boundaries(text, starts)
-    assert [text[starts[i] :][:8] for i in levels[0]] == ["=== page"] and set(levels[0]) <= set(levels[1]) <= set(levels[2])
-    cuts = tree_pieces(len(starts), levels, 30)
-    assert [text[starts[i] :][:8] for i in cuts] == ["=== page", "four fiv", "=== page"]
-    assert all(text[starts[i] :].startswith("one") for i in tree_pieces(len(starts), levels, 20)[1:2])
+    assert starting(text, 30, 30) == ["=== page", "four fiv", "=== page"]
+    assert starting(text, 20, 20)[:2] == ["=== page", "one two "]
+
+
+def test_split_follows_the_tree():
+    para = "\n".join(f"w{i}" for i in range(8))
+    section = lambda d, name, n: f"{'#' * d} {name}\n" + "\n\n".join([para] * n) + "\n"
+    # the second chapter is too long and is taken apart into its sections; the first stays whole although the next paragraphs would fit behind it
+    text = section(1, "one", 2) + section(1, "two", 1) + section(2, "two-a", 1) + section(2, "two-b", 1) + section(1, "three", 1)
+    assert starting(text, 30, 30) == ["# one\nw0", "# two\nw0", "## two-b"]
+    # headings outrank blank lines, deeper items stay with theirs
+    listed = "intro " * 6 + "".join(f"\n- item {i}" + "".join(f"\n  - sub {j}" for j in range(3)) for i in range(4))
+    assert all(x.startswith(("intro", "- item")) for x in starting(listed, 16, 16))
+
+
+def test_split_takes_linear_time():
+    for text in ("a. " * 600 + "\n" * 1_000_000, "a " * 600 + " " * 1_000_000 + "b", "a " * 600 + "\n \t" * 300_000, "a " * 600 + ")" * 200_000, "a. " * 600 + '"' * 100_000 + " b"):
+        began = time.process_time()
+        got = split_text(text, 512, 64)
+        assert "".join(text[new:to] for _, new, to, _ in got) == text and time.process_time() - began < 3
 
 
 def test_split_unbroken_list():
