@@ -72,7 +72,10 @@ def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
     return loaded.select(F.col("row_no").alias("line_no"), *S.RAW_FIELDS)
 
 
-PACKED = {"q2_their_group_companies": P.ROLE_END, "q6_attaches_to": P.TARGET_END}
+PACKED = ["q2_their_group_companies", "q6_attaches_to"]
+#: Fixed values, for the SQL only, which has no description lengths: what a complete entry of each field ends in.
+ROLE_END = r"\((?:parent listed|affiliate listed|guarantor|other)\)"
+TARGET_END = r"(?:→|->|=>)\s*(?:not in pile|doc\b[\s.:#]*\d+)"
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +192,7 @@ union all select 'cards_raw', line_no, 'q3_signed' from checked where shaped and
 union all select 'cards', card_no, 'q1_kind' from cards where not coalesce(lower(trim(q1_kind)) in {_CLOSED_SQL["q1_kind"]}, false)
 union all select 'cards', card_no, 'q3_signed' from cards where not coalesce(lower(trim(q3_signed)) in {_CLOSED_SQL["q3_signed"]}, false)""",
     "p4_loaded": f"with {_RAW_SQL} select line_no, " + ", ".join(f"f[{i + 1}] as {x}" for i, x in enumerate(S.RAW_FIELDS)) + " from checked where shaped and kind_ok and signed_ok",
-    "p5_found": f"""with cells as ({_packed_sql("q2_their_group_companies", P.ROLE_END)} union all {_packed_sql("q6_attaches_to", P.TARGET_END)})
+    "p5_found": f"""with cells as ({_packed_sql("q2_their_group_companies", ROLE_END)} union all {_packed_sql("q6_attaches_to", TARGET_END)})
 select card_no, field_name, cast(unnest(range(1, len(e) + 1)) as integer) as entry_no, unnest(e) as entry_text from cells where len(e) >= 2""",
     "p6_found": f"""with recursive {_LINKS}
 select l.node as doc_id, coalesce(d.root, 'cycle') as root_doc_id, cast(coalesce(d.depth, -1) as integer) as depth from links l left join down d on l.node = d.node""",

@@ -14,6 +14,7 @@ from foliant.operators import packed_cells as P
 from foliant.operators import strict_load as S
 from foliant.operators.components import connected_components
 from foliant.operators.intervals import OPEN, IntervalMap, continuous_periods
+from foliant.plans.pile import ROLE_END, TARGET_END
 from tests.helpers import rows, ts
 
 CARDS = "card_no long, read_at timestamp_ntz, a string, b string, key string, at string"
@@ -120,7 +121,7 @@ def test_strict_load(spark):
     assert rows(S.rejected_answers(answers, "n", closed)) == [(2, "k"), (4, "k"), (4, "k")]
 
 
-ENDS = {"a": P.ROLE_END, "b": P.TARGET_END}
+ENDS = {"a": ROLE_END, "b": TARGET_END}
 
 
 def split(spark, cells, least=1):
@@ -153,6 +154,28 @@ def test_packed_cells_long_and_repeated(spark):
     assert len(got) == 3002 and (1, "a", 2, "R (other)") in got
 
 
+NAMES = ["Halden, Weir & Co", "Marlow Ltd", "Orrin/Pike LLP", "Tessel + Brandt", "Quill Group", "Varga Holdings", "Nettle & Sons", "Osprey Shipping Inc"]
+
+
+def test_packed_cells_without_known_ends(spark):
+    """Nothing is known of what entries end in, and some hold delimiters themselves: the description length decides."""
+    rnd = random.Random(7)
+    want = {i: [rnd.choices(NAMES, range(8, 0, -1))[0] for _ in range(rnd.choice([1, 2, 2, 3, 4]))] for i in range(2000)}
+    df = spark.createDataFrame([(i, rnd.choice(["; ", " | "]).join(e)) for i, e in want.items()], "id long, f string")
+    got = {}
+    for r in sorted(P.split_packed(df, "id", ["f"]).collect(), key=lambda r: (r["row_id"], r["entry_no"])):
+        got.setdefault(r["row_id"], []).append(r["entry_text"])
+    assert sum(got[i] == e for i, e in want.items()) >= 0.99 * len(want)
+
+
+def test_packed_cells_code_lengths():
+    counts = {"word": {P.START: 10, "a": 8, "b": 4, '"': 6}, "words": 32, "pair": {(P.START, "a"): 5, ("a", "b"): 4}, "end": {}, "tail": {}, "ends": (0, 0)}
+    m = P.Model(None, counts, {P._value_key("a b"): 4 * P.WHOLE}, 16)
+    assert m.spelled("a b") == 1 + 1 and m.spelled("b") == 3 and m.spelled("zz") == 10 and m.spelled('"') == 5
+    assert m.bits("a b") == 1 + min(2, 2 + 2 / 4) and m.bits("b") == 1 + 3
+    assert P._end('x Doc. 00012 " ', 15) == (".", "#") and P._end("", 0) is None and P._end("A", 1) == ("", "a")
+
+
 def naive_tree(links):
     out = {}
     for n in links:
