@@ -35,7 +35,7 @@ def signing_entries(cards: DataFrame) -> DataFrame:
 def all_names(spark: SparkSession, d: str) -> DataFrame:
     """Every name in the three fields, once for each task that meets it."""
     cards = table(spark, d, "cards")
-    group = P.split_packed(cards.select("card_no", "q2_their_group_companies"), "card_no", {"q2_their_group_companies": P.ROLE_END})
+    group = P.split_packed(cards.select("card_no", "q2_their_group_companies"), "card_no", ["q2_their_group_companies"])
     alias = table(spark, d, "aliases").where(F.col("node_type").isin(*NAMED_NODES))
     names = signing_entries(cards).select("name").unionByName(group.select(without_role(F.col("entry_text")).alias("name")))
     return names.unionByName(alias.select(F.trim(F.regexp_replace("alias", r"\s+", " ")).alias("name")))
