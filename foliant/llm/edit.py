@@ -47,32 +47,36 @@ def deletions(s: str, most: int) -> set[str]:
 
 
 class BKTree:
-    """Reference strings under the Levenshtein metric; a search visits only children whose edge can hold an entry within the radius."""
+    """Reference strings under the Levenshtein metric; a search visits only children whose edge can hold an entry within the radius.
+
+    Nodes are numbered and kept side by side, so a tree of any depth can be written and read back."""
 
     def __init__(self) -> None:
-        self.root: tuple | None = None
+        self.keys: list[str] = []
+        self.values: list[list] = []
+        self.children: list[dict[int, int]] = []
 
     def add(self, key: str, value: object) -> None:
-        if self.root is None:
-            self.root = (key, [value], {})
-            return
-        node = self.root
-        while True:
-            d = levenshtein(key, node[0])
+        at = 0
+        while at < len(self.keys):
+            d = levenshtein(key, self.keys[at])
             if d == 0:
-                node[1].append(value)
-                return
-            if d not in node[2]:
-                node[2][d] = (key, [value], {})
+                self.values[at].append(value)
                 return
-            node = node[2][d]
+            if d not in self.children[at]:
+                self.children[at][d] = len(self.keys)
+                break
+            at = self.children[at][d]
+        self.keys.append(key)
+        self.values.append([value])
+        self.children.append({})
 
     def search(self, key: str, radius: int) -> Iterator[tuple[int, str, list]]:
         """Every (distance, key, values) within the radius."""
-        todo = [self.root] if self.root else []
+        todo = [0] if self.keys else []
         while todo:
-            k, values, children = todo.pop()
-            d = levenshtein(key, k)
+            at = todo.pop()
+            d = levenshtein(key, self.keys[at])
             if d <= radius:
-                yield d, k, values
-            todo += [c for e, c in children.items() if d - radius <= e <= d + radius]
+                yield d, self.keys[at], self.values[at]
+            todo += [c for e, c in self.children[at].items() if d - radius <= e <= d + radius]

@@ -181,6 +181,18 @@ def read_name(name: str) -> Name:
     return Name("p:" + "".join(initials[:1]), surname, "", "".join(initials[1:]))
 
 
+@lru_cache(maxsize=200_000)
+def read_text(text: str) -> Name:
+    """Anything but a name: one block, letters and digits in lower case without accents, single spaces."""
+    return Name("", " ".join("".join(c if c.isalnum() else " " for c in fold(text)).split()), "", "")
+
+
+def is_name(name: str) -> bool:
+    """Whether it reads as the name of a company or, by its first name or form of address, of a person."""
+    n = read_name(name)
+    return n.block.startswith("c:") or n.first in SHORT or any(t in TITLES for t in _tokens(fold(name)))
+
+
 @lru_cache(maxsize=100_000)
 def _whole(token: str) -> str | None:
     """A line of business spelled in full but for one letter; for words broken by a stray space."""

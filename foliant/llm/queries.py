@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.canonical import map_to_canonical
+from foliant.llm.canonical import NAMES, map_to_canonical
 from foliant.llm.leakage import find_leaks, near_leaks
 from foliant.llm.packing import pack
 from foliant.llm.splitting import split_oversized
@@ -51,14 +51,14 @@ def p1_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     erp = table(spark, d, "erp_record")
-    found = map_to_canonical(signing_entries(table(spark, d, "cards")), "name", erp, "account_number", "account")
+    found = map_to_canonical(signing_entries(table(spark, d, "cards")), "name", erp, "account_number", "account", reading=NAMES)
     return found.select("card_no", "entry_no", F.col("ref_id").alias("account_number"))
 
 
 def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """Names that mean no account, with the number of entries."""
     erp = table(spark, d, "erp_record")
-    found = map_to_canonical(signing_entries(table(spark, d, "cards")), "name", erp, "account_number", "account")
+    found = map_to_canonical(signing_entries(table(spark, d, "cards")), "name", erp, "account_number", "account", reading=NAMES)
     return found.where("ref_id = 'unmatched'").groupBy("name").agg(F.count("*").alias("n_entries"))
 
 

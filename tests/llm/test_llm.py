@@ -118,6 +118,28 @@ def test_canonical(spark, limit):
     assert {r["ref_id"] for r in map_to_canonical(df, "typed", ref.where("false"), "acc", "account", limit).collect()} == {"unmatched"}
 
 
+@pytest.mark.parametrize("limit", [1000, 1])
+def test_canonical_texts(spark, limit):
+    places = ["New York", "Los Angeles", "Coca-Cola", "Pepsi", "Senior Data Analyst", "Data Analyst", "São Paulo", "Rome", "Ur"]
+    ref = spark.createDataFrame([(f"R{i}", x) for i, x in enumerate(places)], "i string, x string")
+    typed = {"Nw York": 0, "Las Angeles": 1, "Coka Cola": 2, "PEPSI!": 3, "Senoir Data Analyst": 4, "data  analyst": 5, "Sao Paolo": 6, "Rom": 7, "Us": None, "Analyst": None, "": None}
+    got = {r["typed"]: r["ref_id"] for r in map_to_canonical(spark.createDataFrame([(x,) for x in typed], "typed string"), "typed", ref, "i", "x", limit).withColumnRenamed("name", "typed").collect()}
+    assert got == {x: "unmatched" if i is None else f"R{i}" for x, i in typed.items()}
+
+
+def test_canonical_against_brute_force(spark, monkeypatch):
+    from foliant.llm import canonical
+
+    monkeypatch.setattr(canonical, "SHARD_ROWS", 20)
+    rnd = random.Random(3)
+    ref = sorted({"".join(rnd.choices("abc", k=rnd.randrange(6, 10))) for _ in range(300)})
+    asked = ["".join(rnd.choices("abc", k=rnd.randrange(5, 11))) for _ in range(300)]
+    best = lambda x: min(((d, r) for r in ref if (d := levenshtein(x, r)) <= min(2, len(x) // 3)), default=(0, "unmatched"))[1]
+    df, listed = spark.createDataFrame([(x,) for x in asked], "x string"), spark.createDataFrame([(r, r) for r in ref], "i string, r string")
+    for limit in (1000, 10):
+        assert {r["name"]: r["ref_id"] for r in map_to_canonical(df, "x", listed, "i", "r", limit, "text").collect()} == {x: best(x) for x in asked}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=80))
 def test_best_two_fit(sizes):
