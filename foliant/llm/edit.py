@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 
 def levenshtein(a: str, b: str) -> int:
@@ -41,9 +40,27 @@ def within(a: str, b: str, radius: int) -> bool:
     return row[len(b)] <= radius
 
 
-def deletions(s: str, most: int) -> set[str]:
-    """``s`` with up to ``most`` characters left out. Strings within distance ``most`` share at least one of these."""
-    return {"".join(s[i] for i in range(len(s)) if i not in out) for k in range(min(most, len(s)) + 1) for out in map(set, combinations(range(len(s)), k))}
+def segments(s: str, radius: int) -> list[tuple[int, int, str]]:
+    """``s`` cut into ``radius`` + 1 pieces of about the same size: (length of s, number of the piece, piece)."""
+    n = len(s)
+    cuts = [n * i // (radius + 1) for i in range(radius + 2)]
+    return [(n, i, s[cuts[i] : cuts[i + 1]]) for i in range(radius + 1)]
+
+
+def probes(s: str, radius: int) -> set[tuple[int, int, str]]:
+    """The segments that a string within ``radius`` of ``s`` may have in common with it; at least one of its segments is among these.
+
+    ``radius`` edits leave one of ``radius`` + 1 pieces untouched. A piece with i pieces before it and k behind that is moved by more than i has
+    more than i edits before it, so that another piece further back is untouched, and likewise from the other end: only places moved by at
+    most i against the start and k against the end need be looked at."""
+    n, out = len(s), set()
+    for length in range(max(n - radius, 0), n + radius + 1):
+        for i in range(radius + 1):
+            a, b = length * i // (radius + 1), length * (i + 1) // (radius + 1)
+            shift = n - length
+            for p in range(max(a - i, a + shift - (radius - i), 0), min(a + i, a + shift + (radius - i), n - (b - a)) + 1):
+                out.add((length, i, s[p : p + b - a]))
+    return out
 
 
 class BKTree:

@@ -3,74 +3,131 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.edit import deletions, within
+from foliant.llm.edit import probes, segments, within
 from foliant.llm.names import RADIUS, read_name
 from foliant.operators.components import connected_components
 from foliant.session import discard, stage
 
-#: One key in so many of a block, chosen by its hash, is a pivot; every block has at least one.
-KEYS_PER_PIVOT = 2000
+#: A block of more keys is divided by what its keys have in common before pivots are set.
+SPLIT_ABOVE = 4_000
+#: One key in so many, chosen by its hash, is a pivot; every part has at least one, and about MOST_PIVOTS at most.
+KEYS_PER_PIVOT = 64
+MOST_PIVOTS = 256
+#: Distances beyond this are all alike. A metric cut off so is still a metric, and long keys are then measured in proportion to their length.
+FURTHEST = 40
 #: Keys that one task joins, about.
-KEYS_PER_TASK = 500
+KEYS_PER_TASK = 2_000
+
+
+def _columns(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())], names=list(types))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(n, *read_name(n)) for n in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(5)], names=["name", "block", "key", "first", "middle"])
-
-
-def _metric_keys(block: str, key: str) -> list[str]:
-    """The strings under which a key is compared: both orders of two stems."""
-    stems = key.split(" ")
-    return [key] if len(stems) != 2 or not block.startswith("c:") else [key, f"{stems[1]} {stems[0]}"]
-
-
-def _cell_links(cell: pd.DataFrame) -> pd.DataFrame:
-    """The exact radius join of one cell: home keys against all keys of the cell, within the radius under the edit metric.
-
-    Candidates share a string with up to RADIUS characters left out, which no pair within the radius escapes; each is then measured.
-    Companies link when within the radius. People must also agree in the first name; a bare initial goes to the one first name
-    that the neighbourhood has for it, the middle initial deciding between several, and to none if that leaves more than one."""
-    block = cell["block"].iat[0]
-    nodes: dict[str, set] = {}
-    for k, f, m in zip(cell["key"], cell["first"], cell["middle"], strict=True):
-        nodes.setdefault(k, set()).add((f, m))
-    homes = sorted(set(cell.loc[cell["home"], "key"]))
-    index: dict[str, set[str]] = {}
-    for k in nodes:
-        for form in _metric_keys(block, k):
-            for v in deletions(form, RADIUS):
-                index.setdefault(v, set()).add(k)
-    out = []
-    for k in homes:
-        near = {c for v in deletions(k, RADIUS) for c in index.get(v, ())}
-        near = sorted(c for c in near if c == k or any(within(k, form, RADIUS) for form in _metric_keys(block, c)))
-        if block.startswith("c:"):
-            out += [(k, "", c, "") for c in near if c != k]
-            continue
-        full: dict[str, set[str]] = {}
-        for c in near:
-            for f, m in nodes[c]:
-                if f:
-                    full.setdefault(f, set()).update({m} if m else ())
-        for f, m in nodes[k]:
-            if f:
-                out += [(k, f, c, f) for c in near if c != k and any(g == f for g, _ in nodes[c])]
+        yield _columns([(n, *read_name(n)) for n in batch.column(0).to_pylist()], dict.fromkeys(("name", "block", "key", "first", "middle"), pa.string()))
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each point in every part in which a key near it may be at home, and at home in one part for each of its segments."""
+    for batch in batches:
+        rows = []
+        for block, key, form in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = set(segments(form, RADIUS)) if form == key else set()
+            rows += [(block, f"{n}:{i}:{s if len(s) <= 32 else blake2b(s.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}", key, form, (n, i, s) in own) for n, i, s in probes(form, RADIUS) | own]
+        yield _columns(rows, {"block": pa.string(), "part": pa.string(), "key": pa.string(), "form": pa.string(), "settled": pa.bool_()})
+
+
+def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The exact radius join of each cell: its home keys against all that were sent there, under the edit metric. Rows come sorted by cell,
+    home keys first. A cell holds the segments of its home keys only; the others pass by and look theirs up."""
+    cell, index = None, {}
+    for batch in batches:
+        out = []
+        for block, part, pivot, home, key, form in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if cell != (block, part, pivot):
+                cell, index = (block, part, pivot), {}
+            if home:
+                for s in segments(form, RADIUS):
+                    index.setdefault(s, []).append(key)
                 continue
-            fits = [g for g in full if m and m in full[g]] if len(full) > 1 else list(full)
-            who = fits[0] if len(fits) == 1 else ""
-            mine = who or f".{m}"
-            # the bare initial's node is its own spelling; tie it to the person, and to the same initials spelled alike nearby
-            out.append((k, f".{m}", k if who and any(g == who for g, _ in nodes[k]) else next((c for c in near if any(g == who for g, _ in nodes[c])), k), who or mine))
-            out += [(k, f".{m}", c, f".{m}") for c in near if c != k and ("", m) in nodes[c] and not who]
-    return pd.DataFrame([(block, a, x, b, y) for a, x, b, y in out], columns=["block", "key_a", "first_a", "key_b", "first_b"])
+            near = {k for s in probes(form, RADIUS) for k in index.get(s, ()) if k != key}
+            out += [(block, k, key) for k in near if within(k, form, RADIUS)]
+        yield _columns(out, dict.fromkeys(("block", "key_a", "key_b"), pa.string()))
+
+
+def in_parts(points: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """(block, part, key, form, settled): the points of every block, large blocks in parts.
+
+    Of two keys within RADIUS, one has an untouched piece in common with the other (``probes``). So a key of a large block settles in a part
+    for each of its RADIUS + 1 pieces and length, and visits those where a key near it may have settled: 19 parts a key, whatever the block."""
+    sizes = points.groupBy("block").agg(F.countDistinct("key").alias("n_keys"))
+    sized = points.join(sizes, "block")
+    small = sized.where(F.col("n_keys") <= split_above).select("block", F.lit("").alias("part"), "key", "form", (F.col("form") == F.col("key")).alias("settled"))
+    large = sized.where(F.col("n_keys") > split_above).select("block", "key", "form").mapInArrow(_signed, "block string, part string, key string, form string, settled boolean")
+    return small.unionByName(large)
+
+
+def cells(parts: DataFrame) -> DataFrame:
+    """(block, part, pivot, home, key, form): every settled key at home with the nearest pivot of its part, every point also sent to each
+    pivot at most 2 * RADIUS further away than its nearest, since by the triangle inequality no key within the radius is at home elsewhere."""
+    where = ["block", "part"]
+    n = parts.where("settled").groupBy(*where).agg(F.count("*").alias("n"), F.min("form").alias("least"))
+    every = F.greatest(F.lit(KEYS_PER_PIVOT), F.ceil(F.col("n") / MOST_PIVOTS))
+    chosen = parts.where("settled").join(n, where).where((F.col("form") == F.col("least")) | (F.pmod(F.xxhash64("form"), every) == 0))
+    pivots = chosen.groupBy(*where).agg(F.sort_array(F.collect_set("form")).alias("pivots"))
+    away = F.transform("pivots", lambda p: F.coalesce(F.nullif(F.levenshtein(F.col("form"), p, FURTHEST), F.lit(-1)), F.lit(FURTHEST + 1)))
+    measured = parts.join(pivots, where).withColumn("d", away).withColumn("reach", F.array_min("d"))
+    sent = F.filter(F.transform("pivots", lambda p, i: F.struct(p.alias("pivot"), F.get("d", i).alias("d"), i.alias("i"))), lambda x: x["d"] <= F.col("reach") + 2 * RADIUS)
+    at = F.array_position("d", F.col("reach")) - 1
+    homes = F.when(F.col("settled"), F.array(F.struct(F.get("pivots", at.cast("int")).alias("pivot"), F.lit(True).alias("home"))))
+    visits = F.transform(sent, lambda x: F.struct(x["pivot"].alias("pivot"), F.lit(False).alias("home")))
+    return measured.select(*where, "key", "form", F.explode(F.concat(F.coalesce(homes, F.array().cast("array<struct<pivot:string,home:boolean>>")), visits)).alias("c")).select(*where, "c.pivot", "c.home", "key", "form")
+
+
+def near_keys(keys: DataFrame) -> DataFrame:
+    """(block, key_a, key_b): the pairs of different keys of a block within RADIUS under the edit metric, for two stems in either order of the second."""
+    points = keys.select("block", "key", F.explode(_forms()).alias("form"))
+    placed = cells(in_parts(points))
+    # cells are small in bytes but dear in time, so their number of tasks follows the keys and not the size
+    cores = keys.sparkSession.sparkContext.defaultParallelism
+    tasks = min(max(keys.count() // KEYS_PER_TASK + 1, cores), 10_000)
+    cell = ["block", "part", "pivot"]
+    return placed.repartition(tasks, *cell).sortWithinPartitions(*cell, F.desc("home")).mapInArrow(_join_cells, "block string, key_a string, key_b string").distinct()
+
+
+def _forms() -> Column:
+    """The strings under which a key is compared: both orders of two stems, each a point of its own."""
+    stems = F.split("key", " ")
+    two = F.col("block").startswith("c:") & (F.size(stems) == 2)
+    return F.array_distinct(F.when(two, F.array("key", F.concat_ws(" ", F.get(stems, F.lit(1)), F.get(stems, F.lit(0))))).otherwise(F.array("key")))
+
+
+def _people(near: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(block, key_a, sub_a, key_b, sub_b): links between people. Those with a first name must agree in it; a bare initial goes to the one first
+    name that the keys near it have, a middle initial deciding between several, and to none if that leaves more than one."""
+    alone = nodes.select("block", F.col("key").alias("key_a"), F.col("key").alias("key_b")).distinct()
+    around = near.unionByName(alone)
+    a = nodes.select("block", F.col("key").alias("key_a"), F.col("first").alias("first_a"), F.col("middle").alias("middle_a"))
+    b = nodes.select("block", F.col("key").alias("key_b"), F.col("first").alias("first_b"), F.col("middle").alias("middle_b"))
+    met = a.join(around, ["block", "key_a"]).join(b, ["block", "key_b"])
+    named = met.where("first_a <> '' and first_a = first_b and key_a <> key_b").select("block", "key_a", F.col("first_a").alias("sub_a"), "key_b", F.col("first_b").alias("sub_b"))
+    bare = ["block", "key_a", "middle_a"]
+    fits = F.max((F.col("middle_a") != "") & (F.col("middle_a") == F.col("middle_b")))
+    who = met.where("first_a = '' and first_b <> ''").groupBy(*bare, "first_b").agg(fits.alias("fits"), F.min_by("key_b", F.struct(F.col("key_b") != F.col("key_a"), "key_b")).alias("key_b"))
+    found = F.struct("first_b", "key_b")
+    who = who.groupBy(*bare).agg(F.count("*").alias("n"), F.count_if("fits").alias("n_fit"), F.min(found).alias("only"), F.min(F.when(F.col("fits"), found)).alias("fit"))
+    who = who.select(*bare, F.when(F.col("n") == 1, F.col("only")).when(F.col("n_fit") == 1, F.col("fit")).alias("who")).where("who is not null")
+    initial = F.concat(F.lit("."), "middle_a")
+    settled = who.select("block", "key_a", initial.alias("sub_a"), F.col("who.key_b").alias("key_b"), F.col("who.first_b").alias("sub_b"))
+    alike = met.where("first_a = '' and first_b = '' and middle_a = middle_b and key_a <> key_b").join(who, bare, "left_anti")
+    return named.unionByName(settled).unionByName(alike.select("block", "key_a", initial.alias("sub_a"), "key_b", initial.alias("sub_b"))).distinct()
 
 
 def link_names(names: DataFrame, name: str = "name") -> DataFrame:
@@ -79,9 +136,9 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
     Null and blank names have no entity. Repeated names count once. A key that two names share needs no measuring; different keys are
     compared only within their block, which is what the metric sets apart furthest: D(x, y) is the edit distance of the keys plus, for
     unequal blocks, more than any key is long, so no pair across blocks can be within the radius. Within a block every key goes home to
-    its nearest pivot and is copied to each pivot at most 2 * RADIUS further away, since by the triangle inequality a neighbour within
-    the radius cannot live anywhere else; the other order of two stems is copied by its own distances. A cell is joined exactly. Cells hold some KEYS_PER_PIVOT home keys, so a block that holds
-    a third of all keys is many tasks. Names of one key never meet in a cell: copies were set aside before."""
+    its nearest pivot and is sent to each pivot at most 2 * RADIUS further away (``cells``); each cell is joined exactly. Edit distances of
+    random words hardly differ, so pivots alone would send most keys of a large block everywhere: a large block is first divided by
+    what near keys must have in common (``in_parts``), so that copies a key do not grow with it."""
     # distinct names are small in bytes but dear to read: they are spread over all cores, not packed by size
     cores = names.sparkSession.sparkContext.defaultParallelism
     read = (
@@ -91,28 +148,16 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
     # a person whose first name is only an initial is a node of its own until the initial is settled
     sub = F.when(F.col("block").startswith("c:"), F.lit("")).when(F.col("first") == "", F.concat(F.lit("."), "middle")).otherwise(F.col("first"))
     read = plain.withColumn("node", F.concat_ws("\x1f", "block", "key", sub))
-    keys = stage(read.where("key <> ''").select("block", "key", "first", F.when((F.col("first") == "") | F.col("block").startswith("p:"), F.col("middle")).otherwise("").alias("middle")).distinct(), "keys")
-    one = keys.select("block", "key").distinct()
-    chosen = one.where(F.pmod(F.xxhash64("block", "key"), F.lit(KEYS_PER_PIVOT)) == 0).unionByName(one.groupBy("block").agg(F.min("key").alias("key")))
-    pivots = chosen.groupBy("block").agg(F.sort_array(F.collect_set("key")).alias("pivots"))
-    # each order of two stems is a point of its own with its own reach, as only between points the triangle inequality holds; a key goes home as written
-    stems = F.split("key", " ")
-    swapped = F.when(F.col("block").startswith("c:") & (F.size(stems) == 2), F.concat_ws(" ", F.get(stems, F.lit(1)), F.get(stems, F.lit(0)))).otherwise(F.col("key"))
-    away = lambda form: F.transform("pivots", lambda p: F.levenshtein(F.col(form), p))
-    measured = one.join(pivots, "block").withColumn("swapped", swapped).select("block", "key", "pivots", away("key").alias("d"), away("swapped").alias("e"))
-    at = F.array_position("d", F.array_min("d")) - 1
-    cells = measured.select("block", "key", F.array_min("d").alias("reach"), F.array_min("e").alias("swapped_reach"), F.posexplode(F.arrays_zip("pivots", "d", "e")).alias("i", "p"), at.alias("at")).where(
-        (F.col("p.d") <= F.col("reach") + 2 * RADIUS) | (F.col("p.e") <= F.col("swapped_reach") + 2 * RADIUS)
-    )
-    placed = cells.select("block", "key", F.col("p.pivots").alias("pivot"), (F.col("i") == F.col("at")).alias("home")).join(keys, ["block", "key"])
-    # cells are small in bytes but dear in time, so their number of tasks follows the keys and not the size
-    tasks = min(max(keys.count() // KEYS_PER_TASK + 1, cores), 10_000)
-    links = placed.repartition(tasks, "block", "pivot").groupBy("block", "pivot").applyInPandas(_cell_links, "block string, key_a string, first_a string, key_b string, first_b string")
-    node = lambda x: F.concat_ws("\x1f", "block", f"key_{x}", f"first_{x}")
+    keys = stage(read.where("key <> ''").select("block", "key").distinct(), "keys")
+    near = stage(near_keys(keys), "near")
+    person = F.col("block").startswith("p:")
+    nodes = read.where(person & (F.col("key") != "")).select("block", "key", "first", "middle").distinct()
+    links = near.where(~person).select("block", "key_a", F.lit("").alias("sub_a"), "key_b", F.lit("").alias("sub_b")).unionByName(_people(near.where(person), nodes))
+    node = lambda x: F.concat_ws("\x1f", "block", f"key_{x}", f"sub_{x}")
     entity = connected_components(links.select(node("a").alias("a"), node("b").alias("b")).where("a <> b"))
     labelled = read.select("name", "node").join(entity, "node", "left").select("name", F.coalesce("component", "node").alias("entity"))
     labelled = stage(labelled, "entities")
-    discard(plain, keys)
+    discard(plain, keys, near)
     sizes = labelled.groupBy("entity").agg((F.count("*") - 1).alias("n_links"))
     return labelled.join(sizes, "entity").select("name", F.left(F.sha2("entity", 256), F.lit(20)).alias("entity"), "n_links")
 

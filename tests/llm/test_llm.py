@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm import variants
 from foliant.llm.canonical import map_to_canonical
-from foliant.llm.edit import BKTree, deletions, levenshtein, within
+from foliant.llm.edit import BKTree, levenshtein, probes, segments, within
 from foliant.llm.leakage import find_leaks, near_leaks, words_of
 from foliant.llm.names import read_name
 from foliant.llm.packing import BestTwoFit, pack
@@ -37,10 +37,11 @@ def test_levenshtein(a, b):
 
 @settings(max_examples=400, deadline=None)
 @given(word, word, st.integers(0, 3))
-def test_within_and_deletions(a, b, r):
+def test_within_and_segments(a, b, r):
     near = levenshtein(a, b) <= r
     assert within(a, b, r) == near
-    assert not near or deletions(a, r) & deletions(b, r)
+    assert "".join(s for _, _, s in segments(a, r)) == a
+    assert not near or set(segments(a, r)) & probes(b, r)
 
 
 @settings(max_examples=100, deadline=None)
@@ -107,6 +108,31 @@ def test_variants_against_brute_force(spark, monkeypatch):
     assert linked(spark, names) == want
 
 
+def test_cells_of_a_large_block(spark):
+    """200,000 random stems in one block: no cell holds more than a block that is not divided, and a key has at most 60 copies on average."""
+    rnd = random.Random(2)
+    stems = sorted({"".join(rnd.choice("bdfghklmnprstvw") + rnd.choice("aeiou") for _ in range(rnd.randrange(3, 6))) + rnd.choice("lmnrst") for _ in range(215_000)})[:200_000]
+    points = spark.createDataFrame([("c:foundry:", s, s) for s in stems], "block string, key string, form string")
+    placed = variants.cells(variants.in_parts(points)).groupBy("block", "part", "pivot").agg(F.count("*").alias("n"))
+    most, total = placed.agg(F.max("n"), F.sum("n")).first()
+    assert most <= variants.SPLIT_ABOVE and total <= 60 * len(stems)
+
+
+@pytest.mark.parametrize("split_above", [0, 40, 10_000])
+def test_near_keys_against_brute_force(spark, monkeypatch, split_above):
+    monkeypatch.setattr(variants, "KEYS_PER_PIVOT", 7)
+    monkeypatch.setattr(variants, "in_parts", lambda points, of=variants.in_parts: of(points, split_above))
+    rnd = random.Random(9)
+    stem = lambda k: "".join(rnd.choices("abc", k=k))
+    keys = {("c:a:", stem(rnd.randrange(1, 9))) for _ in range(150)} | {("c:a:", " ".join(sorted((stem(3), stem(4))))) for _ in range(60)} | {("p:b", stem(5)) for _ in range(40)}
+    orders = lambda b, k: {k, " ".join(reversed(k.split(" ")))} if b == "c:a:" else {k}
+    want = {(b, x, y) for b, x in keys for c, y in keys if b == c and x != y and any(levenshtein(x, f) <= 2 for f in orders(b, y))}
+    got = variants.near_keys(spark.createDataFrame(sorted(keys), "block string, key string"))
+    assert set(rows(got)) == want
+    long = ["x" * 20_000, "x" * 19_999 + "y", "y" * 20_000]
+    assert len(rows(variants.near_keys(spark.createDataFrame([("c::", k) for k in long], "block string, key string")))) == 2
+
+
 @pytest.mark.parametrize("limit", [1000, 1])
 def test_canonical(spark, limit):
     ref = spark.createDataFrame([("A1", "Bonmodpir Shipping Ltd"), ("A2", "Bonmodpir Foundry"), ("A3", "Wessex & Alderol Foundry"), ("A4", "Bonmodpir Shipping Ltd"), (None, "Zz Foundry"), ("A5", None)], "acc string, account string")
