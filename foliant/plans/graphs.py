@@ -48,7 +48,7 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: the registry of edge types that the checks use
-EDGE_TYPES = (("filed_in", "document", "folder"), ("forms_part_of", "document", "same type"), ("party_to", "document", "account|folder"))
+EDGE_TYPES = (("filed_in", "document", "folder"), ("forms_part_of", "document", "same type"), ("supersedes", "document", "same type"), ("party_to", "document", "account|folder"))
 
 
 def edge_gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -163,7 +163,7 @@ select id, label, name, cast(1 as bigint) as n_labels, props from docs
 union all select 'acc-' || account_number, 'account', account, 1, array_to_string(list_filter([{_prop('country', 'country')}, {_prop('site', 'site')}], lambda x: x is not null), ';') from erp
 union all select distinct 'folder-' || pile_folder, 'folder', pile_folder, 1, '' from cards where pile_folder is not null""",
     "graph_edges": f"with {_GRAPH} select src, dst, type from edges",
-    "edge_gaps": f"""with {_GRAPH}, f as (select e.type, case when s.id is null then 'missing source' when t.id is null then 'missing target' when e.type = 'supersedes' then 'unknown type' end as fault
+    "edge_gaps": f"""with {_GRAPH}, f as (select e.type, case when s.id is null then 'missing source' when t.id is null then 'missing target' end as fault
   from edges e left join ids s on s.id = e.src left join ids t on t.id = e.dst) select type, fault, count(*) as n from f where fault is not null group by all""",
     "dangling_placeholders": f"""with {_GRAPH} select dst as id, 'provisional' as label, 'node-' || left(sha256('["provisional", "' || lower(dst) || '"]'), 20) as hashed_id from (select distinct dst from edges where dst not in (select id from ids))""",
     "structural_parents": f"with {_GRAPH} select src, count(distinct dst) as n_parents from edges where type = 'forms_part_of' group by src having count(distinct dst) > 1",

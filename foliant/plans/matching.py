@@ -117,7 +117,7 @@ def best_match_first(spark: SparkSession, d: str) -> DataFrame:
     rank = F.when(F.col("basis") == "same name", 0).when(F.col("basis").isNotNull(), 1).otherwise(2)
     g = m.groupBy("card_no").agg(F.sort_array(F.collect_list(F.struct(rank.alias("r"), "entry_no", F.coalesce("account_number", F.lit("")).alias("a")))).alias("s"))
     names = F.transform("s", lambda x: x["a"])
-    return g.select("card_no", F.get(names, F.lit(0)).alias("best"), F.array_join(F.slice(names, 2, 1000), " ").alias("others"))
+    return g.select("card_no", F.get(names, F.lit(0)).alias("best"), F.array_join(F.slice(names, F.lit(2), F.greatest(F.size(names) - 1, F.lit(0))), " ").alias("others"))
 
 
 def export_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -157,19 +157,22 @@ def top_scope(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parents_by_reference(spark: SparkSession, d: str) -> DataFrame:
-    """The longest title of the same folder that stands, word by word, in the parent words.
+    """The title of one other document of the folder that stands, word by word, in the parent words: the longest, if all others quoted
+    stand in it; else the words quote several and nothing is linked. Titles under four characters, or of several documents, are no reference.
 
     Containment becomes an equi-join: the parent words are exploded into their word runs, as long as the longest title."""
     c = table(spark, d, "cards").where("pile_folder is not null")
     words = F.split(T.norm_name(F.regexp_replace("q6_attaches_to", r"[^A-Za-z0-9]+", " ")), " ")
     c = c.withColumn("w", words)
     title = T.norm_name(F.regexp_replace("q1_title", r"[^A-Za-z0-9]+", " "))
-    longest = max(c.agg(F.max(F.size(F.split(title, " ")))).first()[0] or 0, 2)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(2), F.lit(longest)), lambda n: F.array_join(F.slice("w", i, n), " "))))
+    longest = c.agg(F.max(F.size(F.split(title, " ")))).first()[0] or 1
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i + 1)), lambda n: F.array_join(F.slice("w", i, n), " "))))
     child = c.where(~T.is_empty_answer(F.col("q6_attaches_to"))).select("card_no", "doc_id", "pile_folder", F.explode(F.array_distinct(runs)).alias("run"))
     titles = c.select("pile_folder", title.alias("run"), F.col("doc_id").alias("parent")).where(F.length("run") >= 4).groupBy("pile_folder", "run").agg(F.min("parent").alias("parent"), F.max("parent").alias("other"))
     hit = child.join(titles, ["pile_folder", "run"]).where("parent = other and parent <> doc_id")
-    return hit.groupBy("card_no").agg(F.max_by("parent", F.struct(F.length("run"), "run")).alias("parent_doc"))
+    g = hit.groupBy("card_no").agg(F.max_by(F.struct("run", "parent"), F.struct(F.length("run"), "run")).alias("top"), F.collect_set("run").alias("runs"))
+    within = F.forall("runs", lambda r: F.contains(F.concat(F.lit(" "), F.col("top.run"), F.lit(" ")), F.concat(F.lit(" "), r, F.lit(" "))))
+    return g.where(within).select("card_no", F.col("top.parent").alias("parent_doc"))
 
 
 def parents_by_date(spark: SparkSession, d: str) -> DataFrame:
@@ -307,9 +310,10 @@ union all select distinct doc_id, 'stray' from cards where doc_id not in (select
 select distinct doc_id, 'in scope' as part from filed where account_number in (select account_number from erp where country = 'Italy')
 union all select doc_id, 'unfiled' from inventory where readable = 'yes' and doc_id not in (select doc_id from filed)""",
     "parents_by_reference": f"""with c as (select card_no, doc_id, pile_folder, {_CLEAN.format('q6_attaches_to')} as p, {_CLEAN.format('q1_title')} as t, q6_attaches_to from cards where pile_folder is not null),
-t as (select pile_folder, t, min(doc_id) as parent from c where length(t) >= 4 and len(string_split(t, ' ')) between 2 and 6 group by all having count(distinct doc_id) = 1)
-select c.card_no, (list(parent order by length(t.t) desc, t.t desc))[1] as parent_doc from c join t using (pile_folder)
-where contains(' ' || c.p || ' ', ' ' || t.t || ' ') and parent <> doc_id and {q_norm('q6_attaches_to')} not in ({_EMPTY}) group by card_no""",
+t as (select pile_folder, t, min(doc_id) as parent from c where length(t) >= 4 group by all having count(distinct doc_id) = 1),
+h as (select c.card_no, parent, t.t as t, first_value(t.t) over (partition by c.card_no order by length(t.t) desc, t.t desc) as top from c join t using (pile_folder)
+  where contains(' ' || c.p || ' ', ' ' || t.t || ' ') and parent <> doc_id and {q_norm('q6_attaches_to')} not in ({_EMPTY}))
+select card_no, min(parent) filter (t = top) as parent_doc from h group by card_no having bool_and(contains(' ' || top || ' ', ' ' || t || ' '))""",
     "parents_by_date": f"""with c as (select card_no, doc_id, pile_folder, {_START} as s,
   list_filter(list_transform(regexp_extract_all(lower(coalesce(q6_attaches_to, '')), '({D.ANYWHERE})', 1), lambda x: {_q_date('x', '(?:$|\\D)')}), lambda x: x is not null) as d from cards where pile_folder is not null),
 k as (select card_no, doc_id, pile_folder, unnest(d) as s, unnest(range(0, len(d))) as pos from c),

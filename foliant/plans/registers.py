@@ -10,8 +10,10 @@ from foliant.functions.docrefs import doc_numbers
 from foliant.operators import changes as C
 from foliant.operators import ledger as L
 from foliant.operators import matching as M
+from foliant.operators import strict_load as S
 from foliant.operators import units as U
 from foliant.plans.matching import _EMPTY, _MATCH, accounts, unique_key_match
+from foliant.plans.pile import _RAW_SQL
 from foliant.plans.scalars import _QUOTES, _WORDS, _lit, q_cited, q_int, q_norm
 from foliant.session import table
 
@@ -145,12 +147,14 @@ def eval_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def key_scoring(spark: SparkSession, d: str) -> DataFrame:
-    """The first document of each hash is the key; how many of its copies agree in language and type."""
-    i = table(spark, d, "inventory").select("doc_id", "sha256", "language", "file_type")
-    key = i.groupBy("sha256").agg(F.min_by(F.struct("language", "file_type"), "doc_id").alias("k"), F.min("doc_id").alias("key_doc"))
-    j = i.join(key, "sha256").where("doc_id <> key_doc")
-    ok = F.col("language").eqNullSafe(F.col("k.language")) & F.col("file_type").eqNullSafe(F.col("k.file_type"))
-    return j.groupBy("file_type").agg(F.count("*").alias("n"), F.count_if(ok).alias("agree"))
+    """The export as key: how many of the answers of the cards agree with it, by field; case and outer spaces aside, null as blank. Of several rows of a document the last line is the key."""
+    raw = S.load_lines(table(spark, d, "cards_raw"), "line_no", "raw_line", S.RAW_FIELDS, {"q1_kind": S.KINDS, "q3_signed": S.SIGNED})
+    fields = [f for f in S.RAW_FIELDS if f != "doc_id"]
+    key = raw.groupBy("doc_id").agg(F.max_by(F.struct(*fields), "row_no").alias("k"))
+    bare = lambda x: F.coalesce(F.lower(F.trim(x)), F.lit(""))
+    j = table(spark, d, "cards").select("doc_id", *fields).join(key, "doc_id")
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), (bare(F.col(f)) == bare(F.col(f"k.{f}"))).alias("same")) for f in fields])
+    return j.select(F.explode(cells).alias("c")).groupBy("c.field").agg(F.count("*").alias("n"), F.count_if("c.same").alias("agree"))
 
 
 def duplicate_names(spark: SparkSession, d: str) -> DataFrame:
@@ -178,18 +182,27 @@ def answer_lookup(spark: SparkSession, d: str) -> DataFrame:
     return c.where(F.lower(F.to_json(F.struct(*[x for x in c.columns if x.startswith("q")]))).contains("retention sum")).select("card_no")
 
 
-OVERLAID = ("q7_trade_scope", "q4_status", "q8_countries")
+#: the fields of a card that corrections may change
+OVERLAID = ("q1_title", "q1_kind", "q3_signed", "q4_start_date", "q4_end", "q4_status", "q7_trade_scope", "q8_countries")
 
 
 def corrections_overlay(spark: SparkSession, d: str) -> DataFrame:
-    """Of several corrections of one field the greatest (value, then reason) stands, as the table has no order."""
+    """Of several corrections of one field the greatest (value, then reason) stands, as the table has no order. Fields that cards have not are in ``unknown_corrections``."""
     c = table(spark, d, "cards").select("card_no", "doc_id", *OVERLAID)
     return C.overlay(c, "doc_id", table(spark, d, "corrections"), "field", "value", ["value"], list(OVERLAID)).select("card_no", *OVERLAID)
 
 
+def unknown_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """Corrections that no card takes, by field and why: a field that cards do not have, or a document without a card."""
+    cards, c = table(spark, d, "cards"), table(spark, d, "corrections")
+    known = cards.select("doc_id").where("doc_id is not null").distinct().withColumn("there", F.lit(True))
+    why = F.when(~F.col("field").isin(*cards.columns) | F.col("field").isNull(), "unknown field").when(F.col("there").isNull(), "no card")
+    return c.join(known, "doc_id", "left").select("field", why.alias("why")).where("why is not null").groupBy("field", "why").agg(F.count("*").alias("n"))
+
+
 def corpus_wide(spark: SparkSession, d: str) -> DataFrame:
-    """Cards with inventory, overlay and account; unreadable documents carry the sentinel in every column but their own."""
-    c = corrections_overlay(spark, d).join(table(spark, d, "cards").select("card_no", "doc_id", "q1_title", "q3_signed"), "card_no")
+    """Cards with inventory, overlay and account; unreadable documents carry the sentinel in every column but their own."""
+    c = corrections_overlay(spark, d).join(table(spark, d, "cards").select("card_no", "doc_id"), "card_no")
     i = table(spark, d, "inventory").select("doc_id", "original_path", "file_type", "readable", "pages", "language")
     m = unique_key_match(spark, d).groupBy("card_no").agg(F.min("account_number").alias("account"), F.count("*").alias("n_companies"))
     j = c.join(i, "doc_id", "left").join(m, "card_no", "left")
@@ -216,7 +229,7 @@ def scoped_replay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def folder_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Of each folder the first ten document numbers in order and how many more there are."""
+    """Of each folder the first ten document numbers in order and how many more there are."""
     g = table(spark, d, "cards").where("pile_folder is not null").select("pile_folder", "doc_id").distinct()
     # the rank limit is applied below the shuffle, too, so a hot folder sends ten rows a task
     w = Window.partitionBy("pile_folder").orderBy("doc_id")
@@ -263,19 +276,19 @@ def link_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_once(spark: SparkSession, d: str) -> DataFrame:
-    """Q09, Q08: documents that do not have exactly one card."""
+    """Q09: documents that do not have exactly one card."""
     n = table(spark, d, "cards").groupBy("doc_id").agg(F.count("*").alias("n"))
     return table(spark, d, "inventory").select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_cards")).where("n_cards <> 1")
 
 
 def source_freshness(spark: SparkSession, d: str) -> DataFrame:
-    """Q10, Q05: cards read before their document came or after it went."""
+    """Q10: cards read before their document came or after it went."""
     c = table(spark, d, "cards").select("card_no", "doc_id", "read_at").join(table(spark, d, "inventory").select("doc_id", "added_at", "removed_at"), "doc_id")
     return c.select("card_no", F.when(F.col("read_at") < F.col("added_at"), "too early").when(F.col("read_at") >= F.col("removed_at"), "gone").otherwise("fresh").alias("state"))
 
 
 def alias_registry(spark: SparkSession, d: str) -> DataFrame:
-    """Words for kinds of paper by node type; how many hints each has and the least."""
+    """Words for kinds of paper by node type; how many hints each has and the least."""
     return table(spark, d, "aliases").where("family_hint is not null").groupBy("node_type").agg(F.countDistinct("family_hint").alias("n_hints"), F.min("family_hint").alias("least"), F.count("*").alias("n"))
 
 
@@ -289,7 +302,7 @@ QUERIES = {
     for f in (
         inventory_totals, page_kinds, text_units, first_packets, language_guess, language_confusion, accounts_register, cost_by_role, cost_extrapolation,
         request_complete_pairs, exact_duplicates, answer_conflicts, gap_ranking, form_health, pages_cited, eval_grid, key_scoring, duplicate_names, question_counts,
-        assigned_numbers, answer_lookup, corrections_overlay, corpus_wide, changed_rows, scoped_replay, folder_lists, quoted_words, overlong_quotes, quoted_passages,
+        assigned_numbers, answer_lookup, corrections_overlay, unknown_corrections, corpus_wide, changed_rows, scoped_replay, folder_lists, quoted_words, overlong_quotes, quoted_passages,
         answer_flags, link_targets, section_once, source_freshness, alias_registry, event_props,
     )
 }
@@ -355,16 +368,19 @@ select stage, count(*) filter (req) as requested, count(*) filter (req and done)
     "form_health": "select path, count(*) filter (v not in ('', 'not found', 'unsure', 'can''t tell')) as answered, count(*) filter (v in ('', 'not found')) as not_found, count(*) filter (v in ('unsure', 'can''t tell')) as not_sure from (" + " union all ".join(f"select '{f}' as path, {q_norm(f)} as v from cards" for f in _FORM) + ") group by path",
     "pages_cited": "select doc_id, count(distinct p) as n_pages from (" + " union all ".join(f"select doc_id, unnest(coalesce({q_cited('pages', f)}, [])) as p from cards" for f in _EVIDENCE) + ") group by doc_id",
     "eval_grid": "select item_id, mode, scope, account from eval_items cross join (values ('A'), ('B'), ('C')) v(mode) left join erp_record using (account_number)",
-    "key_scoring": """with k as (select *, first_value(doc_id) over w as kd, first_value(language) over w as kl, first_value(file_type) over w as kt from inventory where sha256 is not null window w as (partition by sha256 order by doc_id))
-select file_type, count(*) as n, count(*) filter (language is not distinct from kl and file_type is not distinct from kt) as agree from k where doc_id <> kd group by file_type""",
+    "key_scoring": f"""with {_RAW_SQL}, l as (select line_no, f[1] as doc_id, {", ".join(f"f[{i + 1}] as k_{x}" for i, x in enumerate(S.RAW_FIELDS) if x != "doc_id")} from checked where shaped and kind_ok and signed_ok),
+k as (select * from l where (doc_id, line_no) in (select doc_id, max(line_no) from l group by doc_id)), j as (select * from cards join k using (doc_id))
+""" + " union all ".join(f"select '{x}' as field, count(*) as n, count(*) filter (coalesce(lower(trim({x})), '') = coalesce(lower(trim(k_{x})), '')) as agree from j having count(*) > 0" for x in S.RAW_FIELDS if x != "doc_id"),
     "duplicate_names": "select regexp_extract(original_path, '^(.*)/[^/]*$', 1) as folder, file_name, count(*) as n from inventory group by all having count(*) > 1",
     "question_counts": "select doc_id, cast(len(regexp_extract_all(coalesce(text, ''), '(?m)^\\s*\\d+[.)]\\s+\\S')) as integer) as n_numbered from documents",
     "assigned_numbers": """with n as (select doc_id, original_path from inventory where doc_id not in (select doc_id from cards where doc_id is not null))
 select doc_id, (select max(cast(doc_id as bigint)) from inventory) + row_number() over (order by original_path, doc_id) as number from n""",
     "answer_lookup": "select card_no from cards where " + " or ".join(f"contains(lower({f}), 'retention sum')" for f in [*_FORM, "q2_evidence", "q3_evidence", "q4_evidence", "q6_evidence", "q7_evidence"]),
     "corrections_overlay": f"with {_FIX}, {_OVERLAY} select card_no, " + ", ".join(f"fixed_{f} as {f}" for f in OVERLAID) + " from o",
+    "unknown_corrections": """with c as (select field, case when field is null or field not in (select column_name from (describe cards)) then 'unknown field' when doc_id is null or doc_id not in (select doc_id from cards where doc_id is not null) then 'no card' end as why from corrections)
+select field, why, count(*) as n from c where why is not null group by all""",
     "corpus_wide": f"""with {_MATCH}, {_FIX}, {_OVERLAY}, a as (select card_no, min(account_number) as account, count(*) as n_companies from matched group by card_no)
-select card_no, o.doc_id, coalesce(original_path, '') as original_path, cast(pages as integer) as pages, {_say('q1_title')} as title, {_say('q3_signed')} as signed, {_say('fixed_q4_status')} as status,
+select card_no, o.doc_id, coalesce(original_path, '') as original_path, cast(pages as integer) as pages, {_say('fixed_q1_title')} as title, {_say('fixed_q3_signed')} as signed, {_say('fixed_q4_status')} as status,
   {_say('fixed_q7_trade_scope')} as trade_scope, {_say('fixed_q8_countries')} as countries_covered, {_say('language')} as language, {_say('account')} as account, coalesce(n_companies, 0) as n_companies
 from o left join inventory i on i.doc_id = o.doc_id left join a using (card_no)""",
     "changed_rows": """with b as (select * from inventory where added_at <= timestamp '2023-06-30' and (removed_at is null or removed_at > timestamp '2023-06-30')),

@@ -292,3 +292,28 @@ def test_undecided_names(spark, tmp_path):
     got = rows(entry.queries()["undecided_names"](spark, str(tmp_path)))
     beta = spark.range(1).select(T.group_key(F.lit("Beta Ltd"))).first()[0]
     assert got == [(beta, "d1"), (beta, "d2"), ("gamma", "d2")]
+
+
+def test_route_rows(spark):
+    from foliant.operators.routing import route_rows
+
+    records = spark.createDataFrame([("a", 1, "x"), ("b", 2, "x"), ("b", 3, "x"), (None, 4, "x"), ("c", 5, "x")], "name string, id long, said string")
+    got = spark.createDataFrame(
+        [(1, "a", "p", None), (2, "a", "p", ""), (3, "a", "q", None), (4, "b", "p", None), (5, None, "p", None), (6, "", None, None), (7, "z", None, None), (8, "c", None, "r"), (8, "c", None, "r")], "n int, name string, s string, t string"
+    )
+    want = [(1, 1, "kept", ""), (2, 1, "repeat", ""), (3, 1, "conflict", "s"), (4, None, "unknown", ""), (5, None, "ignored", ""), (6, None, "ignored", ""), (7, None, "unknown", ""), (8, 5, "kept", ""), (8, 5, "kept", "")]
+    routed = route_rows(got, "n", "name", ["s", "t"], records, "name", "id")
+    assert rows(routed.select("row_no", "record", "route", "differing")) == sorted(want, key=repr)
+    assert route_rows(got.where("false"), "n", "name", ["s", "t"], records, "name", "id").count() == 0
+    assert {r[2] for r in rows(route_rows(got, "n", "name", ["s"], records.where("false"), "name", "id"))} == {"unknown", "ignored"}
+
+
+def test_inherited(spark):
+    from foliant.operators.routing import inherited
+
+    chain = [(f"n{i:04d}", f"n{i + 1:04d}", None, 0) for i in range(600)] + [("n0600", "n0000", "live", 0)]  # the circle above a settled node does not matter
+    odd = [("a", "b", None, 0), ("b", "a", None, 0), ("c", "a", None, 0), ("d", None, None, 0), ("e", "gone", None, 0), ("f", None, "dead", 0), ("g", "f", None, 0), ("h", "g", "x" * 10_000, 0), (None, "f", None, 0)]
+    got = {r["node"]: (r["state"], r["source"]) for r in inherited(spark.createDataFrame(chain + odd, "doc string, up string, s string, state int"), "doc", "up", "s", "unsure").collect()}
+    assert all(got[f"n{i:04d}"] == ("live", "n0600") for i in range(601)) and None not in got and len(got) == 609
+    assert [got[x][0] for x in "abcdefgh"] == ["unsure"] * 5 + ["dead", "dead", "x" * 10_000] and got["g"] == ("dead", "f") and got["e"][1] is None
+    assert inherited(spark.createDataFrame([], "doc string, up string, s string"), "doc", "up", "s", "unsure").count() == 0
