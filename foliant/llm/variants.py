@@ -94,12 +94,16 @@ def cells(parts: DataFrame) -> DataFrame:
 def near_keys(keys: DataFrame) -> DataFrame:
     """(block, key_a, key_b): the pairs of different keys of a block within RADIUS under the edit metric, for two stems in either order of the second."""
     points = keys.select("block", "key", F.explode(_forms()).alias("form"))
-    placed = cells(in_parts(points))
+    parts = stage(in_parts(points), "parts")  # read for sizes, pivots and cells
+    placed = cells(parts)
     # cells are small in bytes but dear in time, so their number of tasks follows the keys and not the size
     cores = keys.sparkSession.sparkContext.defaultParallelism
     tasks = min(max(keys.count() // KEYS_PER_TASK + 1, cores), 10_000)
     cell = ["block", "part", "pivot"]
-    return placed.repartition(tasks, *cell).sortWithinPartitions(*cell, F.desc("home")).mapInArrow(_join_cells, "block string, key_a string, key_b string").distinct()
+    joined = placed.repartition(tasks, *cell).sortWithinPartitions(*cell, F.desc("home")).mapInArrow(_join_cells, "block string, key_a string, key_b string").distinct()
+    near = stage(joined, "near")
+    discard(parts)
+    return near
 
 
 def _forms() -> Column:
@@ -109,14 +113,14 @@ def _forms() -> Column:
     return F.array_distinct(F.when(two, F.array("key", F.concat_ws(" ", F.get(stems, F.lit(1)), F.get(stems, F.lit(0))))).otherwise(F.array("key")))
 
 
-def _people(near: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(block, key_a, sub_a, key_b, sub_b): links between people. Those with a first name must agree in it; a bare initial goes to the one first
+def _people(near: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What met whom (a written table), and (block, key_a, sub_a, key_b, sub_b): links between people. Those with a first name must agree in it; a bare initial goes to the one first
     name that the keys near it have, a middle initial deciding between several, and to none if that leaves more than one."""
     alone = nodes.select("block", F.col("key").alias("key_a"), F.col("key").alias("key_b")).distinct()
     around = near.unionByName(alone)
     a = nodes.select("block", F.col("key").alias("key_a"), F.col("first").alias("first_a"), F.col("middle").alias("middle_a"))
     b = nodes.select("block", F.col("key").alias("key_b"), F.col("first").alias("first_b"), F.col("middle").alias("middle_b"))
-    met = a.join(around, ["block", "key_a"]).join(b, ["block", "key_b"])
+    met = stage(a.join(around, ["block", "key_a"]).join(b, ["block", "key_b"]), "met")
     named = met.where("first_a <> '' and first_a = first_b and key_a <> key_b").select("block", "key_a", F.col("first_a").alias("sub_a"), "key_b", F.col("first_b").alias("sub_b"))
     bare = ["block", "key_a", "middle_a"]
     fits = F.max((F.col("middle_a") != "") & (F.col("middle_a") == F.col("middle_b")))
@@ -127,7 +131,7 @@ def _people(near: DataFrame, nodes: DataFrame) -> DataFrame:
     initial = F.concat(F.lit("."), "middle_a")
     settled = who.select("block", "key_a", initial.alias("sub_a"), F.col("who.key_b").alias("key_b"), F.col("who.first_b").alias("sub_b"))
     alike = met.where("first_a = '' and first_b = '' and middle_a = middle_b and key_a <> key_b").join(who, bare, "left_anti")
-    return named.unionByName(settled).unionByName(alike.select("block", "key_a", initial.alias("sub_a"), "key_b", initial.alias("sub_b"))).distinct()
+    return met, named.unionByName(settled).unionByName(alike.select("block", "key_a", initial.alias("sub_a"), "key_b", initial.alias("sub_b"))).distinct()
 
 
 def link_names(names: DataFrame, name: str = "name") -> DataFrame:
@@ -149,15 +153,16 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
     sub = F.when(F.col("block").startswith("c:"), F.lit("")).when(F.col("first") == "", F.concat(F.lit("."), "middle")).otherwise(F.col("first"))
     read = plain.withColumn("node", F.concat_ws("\x1f", "block", "key", sub))
     keys = stage(read.where("key <> ''").select("block", "key").distinct(), "keys")
-    near = stage(near_keys(keys), "near")
+    near = near_keys(keys)
     person = F.col("block").startswith("p:")
     nodes = read.where(person & (F.col("key") != "")).select("block", "key", "first", "middle").distinct()
-    links = near.where(~person).select("block", "key_a", F.lit("").alias("sub_a"), "key_b", F.lit("").alias("sub_b")).unionByName(_people(near.where(person), nodes))
+    met, people = _people(near.where(person), nodes)
+    links = near.where(~person).select("block", "key_a", F.lit("").alias("sub_a"), "key_b", F.lit("").alias("sub_b")).unionByName(people)
     node = lambda x: F.concat_ws("\x1f", "block", f"key_{x}", f"sub_{x}")
     entity = connected_components(links.select(node("a").alias("a"), node("b").alias("b")).where("a <> b"))
     labelled = read.select("name", "node").join(entity, "node", "left").select("name", F.coalesce("component", "node").alias("entity"))
     labelled = stage(labelled, "entities")
-    discard(plain, keys, near)
+    discard(plain, keys, near, met)
     sizes = labelled.groupBy("entity").agg((F.count("*") - 1).alias("n_links"))
     return labelled.join(sizes, "entity").select("name", F.left(F.sha2("entity", 256), F.lit(20)).alias("entity"), "n_links")
 
