@@ -19,6 +19,8 @@ from foliant.session import table
 
 PAGE_MARKER = r"=== page (\d+) ==="
 PARAGRAPH_MARKER = r"\[¶ (\d+)\]"
+#: more units than any text has
+ALL_UNITS = 2**31 - 1
 STATES = ("live", "dead", "unsure")
 
 
@@ -37,9 +39,9 @@ def page_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_units(spark: SparkSession, d: str) -> DataFrame:
-    """S22"""
-    u = U.text_units(table(spark, d, "documents"), "doc_id", "text", r"\[¶ (\d+)\]")
-    return u.select("doc_id", "unit_no", F.length("body").alias("n_chars"), F.md5("body").alias("body_md5"))
+    """The units of every text: its pages, else its paragraphs; a text without marks is one page."""
+    u = U.first_units(table(spark, d, "documents"), "doc_id", "text", PAGE_MARKER, PARAGRAPH_MARKER, ALL_UNITS, ALL_UNITS)
+    return u.select("doc_id", "kind", "unit_no", F.length("body").alias("n_chars"), F.md5("body").alias("body_md5"))
 
 
 def first_packets(spark: SparkSession, d: str) -> DataFrame:
@@ -335,7 +337,9 @@ SQL = {
     "inventory_totals": """select file_type, count(*) as n_files, count(*) filter (readable = 'yes') as n_readable, cast(coalesce(sum(pages), 0) as bigint) as pages, cast(coalesce(sum(scanned_pages), 0) as bigint) as scanned,
   count(*) filter (docx_tracked_changes > 0) as n_tracked from inventory group by file_type""",
     "page_kinds": f"with {_PAGES} select doc_id, count(*) as n_pages, count(*) filter (length(body) < 25) as n_scans from u group by doc_id",
-    "text_units": f"with {_PARAS} select doc_id, unit_no, cast(length(body) as integer) as n_chars, md5(body) as body_md5 from u",
+    "text_units": f"""with pages as (with {_PAGES} select doc_id, 'page' as kind, unit_no, body from u), paras as (with {_PARAS} select doc_id, 'paragraph' as kind, unit_no, body from u where doc_id not in (select doc_id from pages)),
+a as (select * from pages union all select * from paras union all select doc_id, 'page', 1, regexp_replace(text, '^\\s+|\\s+$', '', 'g') from documents where text is not null and doc_id not in (select doc_id from pages union all select doc_id from paras))
+select doc_id, kind, unit_no, cast(length(body) as integer) as n_chars, md5(body) as body_md5 from a""",
     "first_packets": f"""with pages as (with {_PAGES} select doc_id, 'page' as kind, unit_no, body from u),
 paras as (with {_PARAS} select doc_id, 'paragraph' as kind, unit_no, body from u where doc_id not in (select doc_id from pages)),
 marked as (select * from (select *, row_number() over (partition by doc_id order by unit_no) as k from (select * from pages union all select * from paras)) where k <= case kind when 'page' then 2 else 12 end),

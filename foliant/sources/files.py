@@ -129,7 +129,7 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a file: identity, type, hash, size, units, scans, properties (A11, H21, H22). Numbers follow the path order."""
+    """One row a file: identity, type, hash, size, units, scans, properties (A11, H21, H22). ``operators.matching.numbered`` gives them numbers in path order."""
     files = walk(spark, folder)
     units = extract(files).select(
         F.col("path").alias("_p"), "readable", "note", F.size("units").alias("n_units"), F.when(F.col("unit_kind") == "page", F.size(F.filter("units", lambda u: F.length(F.trim(u)) < SCAN_CHARS))).alias("scanned_pages"),
