@@ -29,18 +29,16 @@ CHAR_BITS, DELIMITER_BITS, FLAG_BITS = 5.0, log2(len(DELIMITERS)), 1.0
 MOSTLY = 0.5
 #: No boundary is more certain than this, nor less likely than its complement.
 SUREST = 1 - 2**-20
-#: Values are counted in whole parts of a cell, so that sums do not depend on their order.
-WHOLE = 840
+#: Values are counted in whole parts of a cell, so that sums do not depend on their order; fine enough for the 256 parses that a cell may have.
+WHOLE = 720_720
 #: Stands before the first word.
 START = "\x02"
-#: Up to so many different delimiters of a cell all sets of them are dialects, beyond that each one and all together.
-ALL_SETS = 4
 #: Counts of a task are handed on when there are so many.
 FLUSH = 200_000
 #: Different cells that a task gathers before it counts in them.
 CELLS_AT_ONCE = 20_000
 
-#: How far before a place its words are looked for.
+#: How far before a place its words are looked for first, and four times as far each time that they are not all there.
 LOOK_BACK = 64
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
@@ -52,21 +50,39 @@ def _value_key(value: str) -> int:
     return int.from_bytes(blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _end(text: str, at: int) -> tuple[str, str] | None:
-    """The last two words before a place, in lower case and with # for numbers; a quote is none. Words further back than LOOK_BACK are not seen."""
-    words = [t for t in _TOKEN.findall(text, max(0, at - LOOK_BACK), at) if t != '"'][-2:]
+def _key(words: list[str]) -> tuple[str, str] | None:
     words = ["#" if t[0].isdigit() else t.lower() for t in words]
     return (words[0] if len(words) > 1 else "", words[-1]) if words else None
 
 
+def _end(text: str, at: int) -> tuple[str, str] | None:
+    """The last two words before a place, in lower case and with # for numbers; a quote is none."""
+    reach = LOOK_BACK
+    while True:
+        start = max(0, at - reach)
+        words = [t for t in _TOKEN.findall(text, start, at) if t != '"']
+        if not start or len(words) > 2:  # the first word may be cut, those behind it are whole
+            return _key(words[-2:])
+        reach *= 4
+
+
+def _ends(text: str) -> Iterator[tuple[int, str, tuple[str, str] | None]]:
+    """(place, delimiter, ``_end`` there) of every delimiter, reading the text once: no word reaches across a delimiter."""
+    words, before = [], 0
+    for m in _AT.finditer(text):
+        at = m.start()
+        words = (words + [t for t in _TOKEN.findall(text, before, at) if t != '"'])[-2:]
+        before = at
+        yield at, m.group(), _key(words)
+
+
 def _places(text: str) -> list[tuple[int, str, tuple[str, str] | None, int]]:
     """Where a cell might be split: (place, delimiter, last two words before it, last character before it that is no space)."""
     out, before, last = [], 0, -1
-    for m in _AT.finditer(text):
-        at, d = m.start(), m.group()
+    for at, d, end in _ends(text):
         if width := len(text[before:at].rstrip()):
             last = before + width - 1
-        out.append((at, d, _end(text, at), last))
+        out.append((at, d, end, last))
         before = at + 1
         last = last if d.isspace() else at
     return out
@@ -98,7 +114,8 @@ class Model:
     def ends_here(self, text: str, at: int, end: tuple[str, str] | None) -> float:
         """The probability that an entry ends before the place ``at``."""
         if self.complete:
-            return SUREST if self.complete.search(text, max(0, at - LOOK_BACK), at) else 1 - SUREST
+            near = max(0, at - LOOK_BACK)
+            return SUREST if self.complete.search(text, near, at) or (near and self.complete.search(text, 0, at)) else 1 - SUREST
         for known, key in ((self.ends, end), (self.tails, end[1] if end else None)):
             if key in known and known[key][0] >= SEEN:
                 n, c = known[key]
@@ -132,9 +149,8 @@ class Model:
         places = _places(text)
         likely = [self.ends_here(text, at, end) for at, _, end, _ in places]
         seen = sorted({d for _, d, _, _ in places}, key=DELIMITERS.index)
-        sizes = range(len(seen) + 1) if len(seen) <= ALL_SETS else (0, 1, len(seen))
         found: dict[tuple[str, ...], float] = {}
-        for mask in (set(c) for k in sizes for c in combinations(seen, k)):
+        for mask in (set(c) for k in range(len(seen) + 1) for c in combinations(seen, k)):
             sure = {p >= MOSTLY for (_, d, _, _), p in zip(places, likely, strict=True) if d in mask}
             for guarded in (False, True) if len(sure) > 1 else (False,):
                 for quoting in (False, True) if '"' in text else (False,):
@@ -232,8 +248,8 @@ def _count_words_and_ends(sums: dict[str, Counter], field: str, text: str, times
         word[t] += times
     for t in zip(tokens, tokens[1:], strict=False):
         pair[t] += times
-    for m in _AT.finditer(text):
-        if end := _end(text, m.start()):
+    for _, _, end in _ends(text):
+        if end:
             sums["end"][end] += times
             sums["tail"][end[1]] += times
     # what ends the cell certainly ends an entry; delimiters behind it have counted it above

@@ -1,6 +1,7 @@
 """The core problem operators against brute force and on the awkward cases."""
 
 import datetime as dt
+import itertools
 import random
 
 import pytest
@@ -168,6 +169,35 @@ def test_packed_cells_without_known_ends(spark):
     assert sum(got[i] == e for i, e in want.items()) >= 0.99 * len(want)
 
 
+def test_packed_cells_of_many_delimiters(spark):
+    """Some of five or six different delimiters split a cell, the others belong to names, and the words before them tell little: every set is a dialect."""
+    rnd = random.Random(7)
+    twin = "Old Hall, Old Hall/Old Hall + Old Hall"
+    names = ["Quill Group", "Varga Holdings", "Osprey Works", "Marlow Ltd", twin]
+    cells = [rnd.choice(["; ", " | ", "\n"]).join(rnd.choices(names, k=rnd.choice([1, 2, 2, 3, 4]))) for _ in range(2000)]
+    cells += [f"{twin} | {twin}; Quill Group", f"{twin} | Marlow Ltd; {twin}; Quill Group"]
+    got = {}
+    for r in sorted(P.split_packed(spark.createDataFrame(list(enumerate(cells)), "id long, f string"), "id", ["f"]).collect(), key=lambda r: (r["row_id"], r["entry_no"])):
+        got.setdefault(r["row_id"], []).append(r["entry_text"])
+    assert got[2000] == [twin, twin, "Quill Group"] and got[2001] == [twin, "Marlow Ltd", twin, "Quill Group"]
+    m = P.Model(None, {"word": {}, "words": 0, "pair": {}, "end": {}, "tail": {}, "ends": (0, 0)})
+    cell = "a|b;c,d/e+f\ng"
+    sets = [set(x) for k in range(7) for x in itertools.combinations(P.DELIMITERS, k)]
+    assert {e for _, e in m.parses(cell)} == {tuple("".join(" " * 9 if x in s else x for x in cell).split(" " * 9)) for s in sets}
+
+
+def test_packed_cells_far_ends():
+    """Words are seen however far before a place or however long they are."""
+    long = "a" * 500
+    assert P._end("x Ltd" + " " * 300, 305) == ("x", "ltd") and P._end(f"{long} {long}", 1001) == (long, long)
+    cell = f"Foo, Bar{' ' * 80}| Quux {long}; Doc 7 (other)"
+    assert [(at, d, end) for at, d, end, _ in P._places(cell)] == [(m.start(), m.group(), P._end(cell, m.start())) for m in P._AT.finditer(cell)]
+    assert P._places(cell)[1][2] == (",", "bar") and P._places(cell)[2][2] == ("quux", long)
+    m = P.Model(r"\(other\)", {"word": {}, "words": 0, "pair": {}, "end": {}, "tail": {}, "ends": (0, 0)})
+    text = "A (other)" + " " * 100 + "; B"
+    assert m.ends_here(text, text.index(";"), None) == P.SUREST
+
+
 def test_packed_cells_code_lengths():
     counts = {"word": {P.START: 10, "a": 8, "b": 4, '"': 6}, "words": 32, "pair": {(P.START, "a"): 5, ("a", "b"): 4}, "end": {}, "tail": {}, "ends": (0, 0)}
     m = P.Model(None, counts, {P._value_key("a b"): 4 * P.WHOLE}, 16)
