@@ -72,5 +72,50 @@ def descendants(resolved: DataFrame) -> DataFrame:
 
 
 def descendant_counts(resolved: DataFrame) -> DataFrame:
-    """(node, n_descendants) for every node with descendants."""
-    return descendants(resolved).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_descendants"))
+    """(node, n_descendants) for every node with descendants, from rows with their ``up``."""
+    return count_descendants(resolved.where("up is not null").select("node", F.col("up")[0].alias("parent")))
+
+
+def count_descendants(links: DataFrame) -> DataFrame:
+    """(node, n_descendants) for every node with descendants that is not in or leading into a circle; ``links`` has one (node, parent) row a node.
+
+    Pairs are never made: in round r every node holds how many nodes stand less than 2^r steps below it, itself among them, and adds that to
+    its ancestor 2^r steps above, if there is one. So work is linear in the nodes and rounds are logarithmic in the depth. A round that ends with as
+    many nodes as it began has cyclic ones only, as in ``resolve``, and cyclic nodes only add to cyclic ones."""
+    open_ = stage(links.select("node", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("size")), "sizes")
+    sums: DataFrame | None = None
+    n_open, n_left = open_.count(), -1
+    while n_left:
+        part = stage(open_.groupBy("anc").agg(F.sum("size").alias("n")), "sizes")
+        sums = part if sums is None else sums.unionByName(part)
+        above, below = open_.select(F.col("node").alias("q_node"), F.col("anc").alias("q_anc")), part.withColumnRenamed("anc", "p_node")
+        moved = stage(
+            open_.join(above, F.col("anc") == F.col("q_node")).join(below, F.col("node") == F.col("p_node"), "left")
+            .select("node", F.col("q_anc").alias("anc"), (F.col("size") + F.coalesce("n", F.lit(0))).alias("size")), "sizes",
+        )
+        discard(open_)
+        open_, n_left = moved, moved.count()
+        if n_left == n_open:
+            break
+        n_open = n_left
+    total = sums.groupBy(F.col("anc").alias("node")).agg(F.sum("n").alias("n_descendants"))
+    return total.join(open_.select("node"), "node", "left_anti")
+
+
+def all_descendants(links: DataFrame) -> DataFrame:
+    """(ancestor, node): every pair of a node and another one that its parents lead to, in circles too; ``links`` has one (node, parent) row a node.
+
+    Outside circles these are the pairs of ``resolve``. Cyclic nodes double their sets of ancestors until a round adds none to any: what lies up to
+    2^(r+1) steps above is then what lies up to 2^r. The result is as long as there are pairs, the square of the length of a chain or circle."""
+    resolved = resolve(links)
+    sets = stage(
+        resolved.where(F.col("root") == CYCLE).select("node").join(links, "node").select("node", F.col("parent").alias("anc"), F.array("parent").alias("up"), F.lit(True).alias("grew")), "sets"
+    )
+    while sets.where("grew").limit(1).count():
+        q = sets.select(F.col("node").alias("q_node"), F.col("anc").alias("q_anc"), F.col("up").alias("q_up"))
+        more = F.array_distinct(F.concat("up", "q_up"))
+        moved = stage(sets.join(q, F.col("anc") == F.col("q_node")).select("node", F.col("q_anc").alias("anc"), more.alias("up"), (F.size(more) > F.size("up")).alias("grew")), "sets")
+        discard(sets)
+        sets = moved
+    cyclic = sets.select("node", F.explode("up").alias("ancestor")).where("ancestor <> node").select("ancestor", "node")
+    return descendants(resolved).select("ancestor", "node").unionByName(cyclic)

@@ -98,11 +98,18 @@ def p6_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
-    r = H.resolve(card_parents(table(spark, d, "cards")))
-    return H.descendant_counts(r).select(F.col("node").alias("doc_id"), "n_descendants")
+    """How many documents hang below each one that no circle is above; those of all others are in ``p6_descendant_list``."""
+    n = H.count_descendants(card_parents(table(spark, d, "cards")))
+    return n.select(F.col("node").alias("doc_id"), "n_descendants")
+
+
+def p6_descendant_list(spark: SparkSession, d: str) -> DataFrame:
+    """Each document and every other one below it; in a circle each is below each."""
+    pairs = H.all_descendants(card_parents(table(spark, d, "cards")))
+    return pairs.select(F.col("ancestor").alias("doc_id"), F.col("node").alias("descendant_doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_by_month, p2_current, p3_found, p4_found, p4_loaded, p5_found, p6_found, p6_paths, p6_descendants)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_by_month, p2_current, p3_found, p4_found, p4_loaded, p5_found, p6_found, p6_paths, p6_descendants, p6_descendant_list)}
 
 _REFS = """refs as (
   select distinct card_no, field_name, read_at,
@@ -200,4 +207,9 @@ select l.node as doc_id, coalesce(d.root, 'cycle') as root_doc_id, cast(coalesce
     "p6_descendants": f"""with recursive {_LINKS}, a as (
   select node, unnest(string_split(path, '/')) as anc from down)
 select anc as doc_id, count(*) as n_descendants from a where anc <> node group by anc""",
+    "p6_descendant_list": f"""with recursive {_LINKS}, reach as (
+  select node, parent as anc from links
+  union
+  select r.node, l.parent from reach r join links l on r.anc = l.node)
+select anc as doc_id, node as descendant_doc_id from reach where anc <> node""",
 }

@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -231,6 +232,24 @@ def test_hierarchy(spark, seed):
     assert dict(rows(H.descendant_counts(r)))["c150"] == 150
 
 
+def test_all_descendants(spark):
+    """Lists of descendants, of documents in and above circles too, and counts without pairs."""
+    rnd = random.Random(5)
+    links = {f"n{i}": f"n{rnd.randrange(max(0, i - 4), i)}" for i in range(1, 90)} | {f"c{i}": f"c{i + 1}" for i in range(70)}
+    links |= {"x": "y", "y": "z", "z": "x", "w": "x", "v": "w", "s": "s", "t": "s"} | {f"r{i}": f"r{(i + 1) % 11}" for i in range(11)}
+    pairs = set()
+    for n in links:
+        x = n
+        while x in links and (links[x], n) not in pairs:
+            x = links[x]
+            pairs.add((x, n))
+    df = spark.createDataFrame(list(links.items()), "node string, parent string")
+    assert rows(H.all_descendants(df)) == sorted((p for p in pairs if p[0] != p[1]), key=repr)
+    acyclic = {n for n in links if naive_tree(links)[n][0] != "cycle"}
+    assert dict(rows(H.count_descendants(df))) == dict(Counter(a for a, n in pairs if n in acyclic))
+    assert rows(H.count_descendants(df.where("false"))) == rows(H.all_descendants(df.where("false"))) == []
+
+
 def test_hierarchy_ties_and_empty(spark):
     df = spark.createDataFrame([("a", "c"), ("a", "b"), ("a", "b")], "a string, b string")
     assert rows(H.resolve(H.parent_links(df, "a", "b"), with_path=False)) == [("a", "b", 1)]
