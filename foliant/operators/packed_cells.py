@@ -150,11 +150,13 @@ class Model:
         likely = [self.ends_here(text, at, end) for at, _, end, _ in places]
         seen = sorted({d for _, d, _, _ in places}, key=DELIMITERS.index)
         found: dict[tuple[str, ...], float] = {}
+        same: dict[str, str] = {}  # parses share their entries
         for mask in (set(c) for k in range(len(seen) + 1) for c in combinations(seen, k)):
             sure = {p >= MOSTLY for (_, d, _, _), p in zip(places, likely, strict=True) if d in mask}
             for guarded in (False, True) if len(sure) > 1 else (False,):
                 for quoting in (False, True) if '"' in text else (False,):
                     entries, bits = self._parse(text, places, likely, mask, guarded, quoting)
+                    entries = tuple([same.setdefault(e, e) for e in entries])
                     bits += DELIMITER_BITS * len(mask) + FLAG_BITS * (guarded + quoting)
                     if entries not in found or bits < found[entries]:
                         found[entries] = bits
@@ -218,11 +220,14 @@ def _counted(batches: Iterator[pa.RecordBatch], count) -> Iterator[pa.RecordBatc
         sums.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 3 else pa.string()) for i in range(4)], names=["field_name", "kind", "key", "n"])
 
-    def settle() -> None:
+    def settle() -> Iterator[pa.RecordBatch]:
         for (field, cell), times in cells.items():
             if field not in of:
                 of[field] = {k: sums.setdefault((field, k), Counter()) for k in KINDS}
             count(of[field], field, cell, times)
+            if sum(map(len, sums.values())) > FLUSH:
+                of.clear()
+                yield flush()
         cells.clear()
 
     cells: Counter = Counter()  # equal cells are looked at once
@@ -230,11 +235,8 @@ def _counted(batches: Iterator[pa.RecordBatch], count) -> Iterator[pa.RecordBatc
     for batch in batches:
         cells.update(zip(batch.column("field_name").to_pylist(), batch.column("cell").to_pylist(), strict=True))
         if len(cells) > CELLS_AT_ONCE:
-            settle()
-        if sum(map(len, sums.values())) > FLUSH:
-            of.clear()
-            yield flush()
-    settle()
+            yield from settle()
+    yield from settle()
     yield flush()
 
 

@@ -5,6 +5,7 @@ import itertools
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -199,6 +200,24 @@ def test_packed_cells_far_ends():
     assert m.ends_here(text, text.index(";"), None) == P.SUREST
 
 
+def test_packed_cells_partial_sums(monkeypatch):
+    """A task hands its counts on between cells, too, however many parses they have."""
+    cells = [f"a{i}|b;c,d/e+f\ng{i}" for i in range(30)]
+    batch = pa.RecordBatch.from_pydict({"field_name": ["f"] * 30, "cell": cells})
+    count = P._value_counter({"f": None}, {"f": {"word": {}, "words": 0, "pair": {}, "end": {}, "tail": {}, "ends": (0, 0)}})
+
+    def sums(flush):
+        monkeypatch.setattr(P, "FLUSH", flush)
+        out, total = list(P._counted(iter([batch]), count)), Counter()
+        for b in out:
+            for r in b.to_pylist():
+                total[r["kind"], r["key"]] += r["n"]
+        return max(b.num_rows for b in out), total
+
+    (most, whole), (few, parts) = sums(10**9), sums(50)
+    assert parts == whole and few < most / 5
+
+
 def test_packed_cells_code_lengths():
     counts = {"word": {P.START: 10, "a": 8, "b": 4, '"': 6}, "words": 32, "pair": {(P.START, "a"): 5, ("a", "b"): 4}, "end": {}, "tail": {}, "ends": (0, 0)}
     m = P.Model(None, counts, {P._value_key("a b"): 4 * P.WHOLE}, 16)
